@@ -11,12 +11,17 @@ from loomcycle.llm.line_dedup import line_dedup
 from loomcycle.llm.mixing import mix
 from loomcycle.llm.packing import cut_pieces, pack
 from loomcycle.llm.sharding import shard_documents
+from loomcycle.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def word_vocabulary() -> str:
     import public_tokenizers
 
@@ -46,6 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_source_mixing": op5_source_mixing,
     "op7_line_dedup": op7_line_dedup,
