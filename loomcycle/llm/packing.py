@@ -40,11 +40,12 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKEN
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path).encode_one
+        encode = tokenizer(tokenizer_path).encode
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, found in zip(batch.column(0).to_pylist(), encode(texts)):
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), max_tokens)):
                     part = ids[start : start + max_tokens]
                     rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())) + (part.astype(np.int32),) * with_ids)
