@@ -10,6 +10,7 @@ from loomcycle.llm.exact_dedup import exact_dedup
 from loomcycle.llm.html_extract import extract_html
 from loomcycle.llm.line_dedup import line_dedup
 from loomcycle.llm.mixing import mix
+from loomcycle.llm.ngram_join import ngram_join
 from loomcycle.llm.packing import cut_pieces, pack
 from loomcycle.llm.sharding import shard_documents
 from loomcycle.llm.topk_search import topk_search
@@ -28,6 +29,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def word_vocabulary() -> str:
     import public_tokenizers
 
@@ -63,6 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_source_mixing": op5_source_mixing,
     "op6_html_extraction": op6_html_extraction,
