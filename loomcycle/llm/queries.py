@@ -13,6 +13,7 @@ from loomcycle.llm.mixing import mix
 from loomcycle.llm.ngram_join import ngram_join
 from loomcycle.llm.packing import cut_pieces, pack
 from loomcycle.llm.sharding import shard_documents
+from loomcycle.llm.suffix_dedup import repeated_passages
 from loomcycle.llm.topk_search import topk_search
 from loomcycle.llm.toxicity import toxicity
 
@@ -56,6 +57,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = repeated_passages(_table(spark, sf_dir, "documents"))
+    return spans.withColumn("n_words", F.col("end_word") - F.col("start_word"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_html_extraction": op6_html_extraction,
     "op7_line_dedup": op7_line_dedup,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
 }
