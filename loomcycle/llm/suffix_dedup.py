@@ -10,11 +10,12 @@ copies of a passage of min_words keep suffixes at the same places of it.
    leave their places.
 2. The documents that hold such places give each suffix its context: the min_words - ANCHOR words before
    and after the stretch, as 32-bit word hashes.
-3. Suffixes are range-partitioned and sorted by (stretch, words after, words before), every suffix is
-   compared with its nearest neighbours of other documents, and the match is extended left and right. Rows
-   at partition ends meet in a second, small sort. Suffixes not matched in full then do the same in the
-   order (stretch, words before, words after).
-4. Matches of min_words at least are merged into maximal spans of each document.
+3. Suffixes are range-partitioned and sorted by (stretch, words after, words before); every suffix is
+   compared with its nearest neighbours of other documents and the match is extended left and right.
+4. The neighbour with the longest match after the stretch needn't be the one with the longest before it.
+   Where a stretch has suffixes that aren't matched in full, the splits of the remaining words into before
+   and after that no neighbour settled are compared by hash, sorted, in the manner of step 1.
+5. Matches of min_words at least are merged into maximal spans of each document.
 
 Defined cases: null and short texts have no span. Rows with a null doc_id take no part; rows that repeat a
 doc_id count as one document, and repeats within one document don't count. An empty table gives an empty
@@ -26,14 +27,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomcycle.llm.shingles import finalise, split_words, window_hashes
-from loomcycle.session import cut_lineage
 
 MIN_WORDS, ANCHOR = 50, 32
+_NONE = -(1 << 63)
 
 
 def anchor_places(words: list[bytes], min_words: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,39 +84,48 @@ def _emit_anchors(batches: Iterable[pa.RecordBatch], min_words: int, anchor: int
 
 
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places whose stretch is in two documents, from rows sorted by (h, doc_id); a run crosses batches with its
-    first document's rows at most."""
+    """(doc_id, place, another document) where a hash is in two documents, from rows sorted by (h, doc_id).
+
+    Rows that are known or stay pass in any case, without the other document; rows that stay stand for no
+    others. A run crosses batches with its first document's rows at most.
+    """
     held: list[np.ndarray] = []
     run_h = run_doc = None
     several = False
     for batch in batches:
         h, doc, place, known, stay = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        out = [np.stack([doc, place.astype(np.int64)])[:, stay | known]]
-        left = ~(stay | known)
-        pick = ~stay
-        ph, pd_, pp, pl = h[pick], doc[pick], place[pick].astype(np.int64), left[pick]
-        if len(ph):
-            edges = np.append(np.flatnonzero(np.concatenate([[True], ph[1:] != ph[:-1]])), len(ph))
-            multi = pd_[edges[:-1]] != pd_[edges[1:] - 1]
-            for k in [0, len(edges) - 2] if len(edges) > 2 else [0]:
+        passed = known | stay
+        out = [np.stack([doc, place, np.full(len(doc), _NONE)])[:, passed]]
+        h, doc, place, asks = h[~stay], doc[~stay], place[~stay].astype(np.int64), ~passed[~stay]
+        if len(h):
+            edges = np.append(np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])), len(h))
+            first, last = doc[edges[:-1]], doc[edges[1:] - 1]
+            run = np.repeat(np.arange(len(first)), np.diff(edges))
+            other = np.where(doc == first[run], last[run], first[run])
+            rows, multi = np.stack([doc, place, other]), first != last
+            done = multi[run]
+            for k in sorted({0, len(first) - 1}):
                 a, b = edges[k], edges[k + 1]
-                mine = np.stack([pd_[a:b], pp[a:b]])[:, pl[a:b]]
-                if k == 0 and run_h == ph[a]:
-                    several = several or bool(multi[0]) or pd_[a] != run_doc
+                mine = rows[:, a:b]
+                if k == 0 and run_h == h[a]:
+                    if several or multi[0] or doc[a] != run_doc:
+                        several = True
+                        mine[2] = np.where(mine[0] == run_doc, doc[b - 1], run_doc)
+                        for part in held:
+                            part[2] = doc[b - 1]
                 else:
-                    held, run_h, run_doc, several = [], ph[a], pd_[a], bool(multi[k])
+                    held, run_h, run_doc, several = [], h[a], doc[a], bool(multi[k])
+                done[a:b] = False
+                mine = mine[:, asks[a:b]]
                 if several:
                     out += [*held, mine]
                     held = []
                 else:
                     held.append(mine)
-            inner = np.zeros(len(ph), bool)
-            if len(edges) > 3:
-                inner[edges[1] : edges[-2]] = np.repeat(multi[1:-1], np.diff(edges[1:-1]))
-            out.append(np.stack([pd_, pp])[:, inner & pl])
+            out.append(rows[:, done & asks])
         found = np.concatenate(out, axis=1)
         if found.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32))], names=["doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1].astype(np.int32)), pa.array(found[2], mask=found[2] == _NONE)], names=["doc_id", "place", "other"])
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,97 +151,145 @@ def _compare(h: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-_ROWS = "h long, doc_id long, place int, x binary, y binary"
-_FOUND = "kind int, " + _ROWS + ", start int, end int, other long"
-#: Kinds of rows that come back: a match, a suffix at a partition's end, a suffix not matched in full.
-_MATCH, _SEAM, _OPEN = 0, 1, 2
+_ROWS = "kind int, h long, doc_id long, place int, x binary, y binary, start int, end int, other long"
+_NAMES = [c.split()[0] for c in _ROWS.split(", ")]
+#: Kinds of rows: a match, and a suffix whose splits are still to be compared.
+_MATCH, _OPEN = 0, 1
 
 
-def _neighbours(batches: Iterable[pa.RecordBatch], x_first: bool, min_words: int, anchor: int, seams: bool) -> Iterator[pa.RecordBatch]:
-    """Looks at rows sorted by (h, x, y); x and y are the words after and before the stretch if x_first, else before and after."""
+def _neighbours(batches: Iterable[pa.RecordBatch], min_words: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Looks at rows sorted by (h, words after, words before); passes matches on. `start` of an open row has a bit for
+    each number of words before the stretch with which a match is known."""
     reach = min_words - anchor
-    kept: pa.Table | None = None
+    every = (1 << (reach + 1)) - 1
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if not len(table):
+        settled = pc.equal(batch["kind"], _MATCH)
+        if pc.any(settled).as_py():
+            yield batch.filter(settled)
+            batch = batch.filter(pc.invert(settled))
+        n = len(batch)
+        if not n:
             continue
-        begins = kept is None
-        table = table if begins else pa.concat_tables([kept, table])
-        h, doc, place = (table.column(i).to_numpy() for i in range(3))
-        x, y = (np.frombuffer(b"".join(table.column(i).to_pylist()), np.uint32).reshape(-1, reach) for i in (3, 4))
-        row, left, right, other = _compare(h, doc, *((y, x) if x_first else (x, y)))
-        full = np.zeros(len(h), bool)
-        full[row[(left == reach) & (right == reach)]] = True
-        good = left + right + anchor >= min_words
+        h, doc, place = (batch[c].to_numpy() for c in ("h", "doc_id", "place"))
+        after, before = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, reach) for c in "xy")
+        row, left, right, other = _compare(h, doc, before, after)
+        good = left + right >= reach
         row, left, right, other = row[good], left[good], right[good], other[good]
+        mask = np.zeros(n, np.int64)
+        np.bitwise_or.at(mask, row, (1 << (left + 1)) - (1 << (reach - right)))
         if len(row):
-            yield _found(_MATCH, table, row, place[row] - left, place[row] + anchor + right, other)
-        yield _found(_OPEN, table, np.flatnonzero(~full))
-        same = (doc == doc[0]) & (h == h[0])
-        if begins and seams:
-            yield _found(_SEAM, table, np.arange(len(same) if same.all() else int(same.argmin())))
-        # the last document's run in a stretch, and the row before it, may still meet a neighbour
-        same = ((doc == doc[-1]) & (h == h[-1]))[::-1]
-        run = len(same) if same.all() else int(same.argmin())
-        kept = table.slice(max(0, len(table) - run - 1))
-    if seams and kept is not None:
-        yield _found(_SEAM, kept, np.arange(len(kept)))
-
-
-def _found(kind: int, table: pa.Table, row: np.ndarray, start: np.ndarray | None = None, end: np.ndarray | None = None, other: np.ndarray | None = None) -> pa.RecordBatch:
-    picked, n = table.take(pa.array(row, pa.int64())), len(row)
-    columns = [picked.column(i).combine_chunks() for i in range(3)]
-    columns += [pa.nulls(n, pa.binary())] * 2 if kind == _MATCH else [picked.column(i).combine_chunks() for i in (3, 4)]
-    more = [pa.nulls(n, t) if v is None else pa.array(v.astype(d)) for v, t, d in ((start, pa.int32(), np.int32), (end, pa.int32(), np.int32), (other, pa.int64(), np.int64))]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns, *more], names=["kind", "h", "doc_id", "place", "x", "y", "start", "end", "other"])
-
-
-def _compared(suffixes: DataFrame, x_first: bool, min_words: int, anchor: int) -> tuple[DataFrame, DataFrame]:
-    """(matches, suffixes not matched in full) from neighbours in one order, within range partitions and across their ends."""
-    order = ["h", "x", "y", "doc_id", "place"]
-    look = lambda seams: lambda it: _neighbours(it, x_first, min_words, anchor, seams)
-    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut_lineage(suffixes.repartitionByRange(parts, *order[:3]).sortWithinPartitions(*order).mapInArrow(look(True), _FOUND))
-    # a partition leaves the first and last document's run of suffixes at its ends, a few rows
-    seams = found.where(F.col("kind") == _SEAM).select(*order).coalesce(1).sortWithinPartitions(*order)
-    seams = seams.select("h", "doc_id", "place", "x", "y").mapInArrow(look(False), _FOUND)
-    matches = found.unionByName(seams).where(F.col("kind") == _MATCH).select("doc_id", "start", "end", "other")
-    return matches, found.where(F.col("kind") == _OPEN).select("h", "doc_id", "place", "x", "y")
-
-
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    out: list[list[int]] = []
-    for doc, a, b, other in frame[["doc_id", "start", "end", "other"]].sort_values(["start", "end", "other"]).itertuples(index=False):
-        if out and a <= out[-1][2]:
-            out[-1][2], out[-1][3] = max(out[-1][2], b), min(out[-1][3], other)
-        else:
-            out.append([doc, a, b, other])
-    return pd.DataFrame(out, columns=["doc_id", "start_word", "end_word", "other_doc_id"])
+            yield _found(_MATCH, batch, row, place[row] - left, place[row] + anchor + right, other)
+        # stretches all of whose suffixes here are matched in full are done, unless they go on in another batch
+        begin = np.concatenate([[True], h[1:] != h[:-1]])
+        run = np.cumsum(begin) - 1
+        undone = np.zeros(run[-1] + 1, bool)
+        undone[run[mask != every]] = True
+        undone[[0, -1]] = True
+        alike = np.zeros(n, bool)
+        alike[1:] = ~begin[1:] & (after[1:] == after[:-1]).all(1) & (before[1:] == before[:-1]).all(1)
+        inner = alike & np.append(alike[1:], False) & (mask == every)
+        rest = np.flatnonzero(undone[run] & ~inner)
+        yield _found(_OPEN, batch, rest, mask[rest])
+
+
+def _found(kind: int, batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, end: np.ndarray | None = None, other: np.ndarray | None = None) -> pa.RecordBatch:
+    picked, n = batch.take(pa.array(row, pa.int64())), len(row)
+    columns = [picked[c] for c in ("h", "doc_id", "place")] + ([pa.nulls(n, pa.binary())] * 2 if kind == _MATCH else [picked["x"], picked["y"]])
+    more = [pa.nulls(n, pa.int32()) if end is None else pa.array(end.astype(np.int32)), pa.nulls(n, pa.int64()) if other is None else pa.array(other)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *columns, pa.array(start.astype(np.int32)), *more], names=_NAMES)
+
+
+def _splits(batches: Iterable[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """A hash for each split of an open row's context; place is where the min_words words begin."""
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        h, doc, place, mask = (batch.column(i).to_numpy() for i in range(4))
+        after, before = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, reach) for i in (4, 5))
+        chain = [np.zeros((n, reach + 1), np.uint64) for _ in range(2)]
+        for sums, side in zip(chain, (before, after)):
+            for k in range(reach):
+                sums[:, k + 1] = finalise(sums[:, k] + side[:, k].astype(np.uint64) + np.uint64(1))
+        split = np.arange(reach + 1)
+        key = finalise(finalise(h.view(np.uint64)[:, None] ^ chain[0]) + chain[1][:, ::-1] + split.astype(np.uint64))
+        known = (mask[:, None] >> split) & 1 == 1
+        columns = [key.view(np.int64), np.repeat(doc, reach + 1), place[:, None] - split.astype(np.int32), known]
+        flat = [np.ascontiguousarray(c).reshape(-1) for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*flat, np.zeros(len(flat[0]), bool))], names=["h", "doc_id", "place", "known", "stay"])
+
+
+def _merged(matches: DataFrame) -> DataFrame:
+    """Unions of overlapping or touching matches: a match beyond all ends before it begins a new span."""
+    spans = matches.groupBy("doc_id", "start", "end").agg(F.min("other").alias("other"))
+    by_start = W.partitionBy("doc_id").orderBy("start", "end")
+    reached = F.max("end").over(by_start.rowsBetween(W.unboundedPreceding, -1))
+    begun = spans.withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    numbered = begun.withColumn("span", F.sum("new").over(by_start.rowsBetween(W.unboundedPreceding, 0)))
+    found = numbered.groupBy("doc_id", "span").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("other").alias("other_doc_id"))
+    return found.drop("span")
+
+
+def _suffixes(batches: Iterable[pa.RecordBatch], min_words: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Suffixes with contexts. Of those alike in stretch and contexts, in two documents of the batch, two go on as
+    representatives; the others are matched in full already and travel spread out."""
+    reach = min_words - anchor
+    weigh = finalise(np.arange(1, 2 * reach + 1, dtype=np.uint64)) | np.uint64(1)
+    for batch in batches:
+        parts = []
+        for d, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+            words = split_words(text)
+            at = np.array(sorted(places), np.int64)
+            at = at[at + anchor <= len(words)]  # a repeated doc_id may have a shorter text too
+            if len(at):
+                parts.append((window_hashes(words, anchor)[at], np.full(len(at), d, np.int64), at, *_contexts(words, at, anchor, reach, d)))
+        if not parts:
+            continue
+        h, doc, at, before, after = (np.concatenate(x) for x in zip(*parts))
+        key = finalise(h ^ finalise((np.hstack([before, after]).astype(np.uint64) * weigh).sum(1, dtype=np.uint64)))
+        order = np.lexsort((doc, key))
+        h, doc, at, before, after, key = (x[order] for x in (h, doc, at, before, after, key))
+        start = np.ones(len(key), bool)
+        start[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(start)
+        last = np.append(first[1:], len(key)) - 1
+        run = np.cumsum(start) - 1
+        settled = (doc[first] != doc[last])[run]
+        settled[first] = False
+        settled[last] = False
+        other = np.where(doc[first][run] != doc, doc[first][run], doc[last][run])
+        spread = finalise(key ^ finalise(at.astype(np.uint64) ^ doc.view(np.uint64)))
+        columns = [
+            pa.array(np.where(settled, _MATCH, _OPEN).astype(np.int32)),
+            pa.array(np.where(settled, spread, h).view(np.int64)),
+            pa.array(doc),
+            pa.array(at.astype(np.int32)),
+            *(pa.array([None if s else x.tobytes() for s, x in zip(settled, side)], pa.binary()) for side in (after, before)),
+            pa.array((at - reach).astype(np.int32), mask=~settled),
+            pa.array((at + anchor + reach).astype(np.int32), mask=~settled),
+            pa.array(other, mask=~settled),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+
+_HASHED = "h long, doc_id long, place int, known boolean, stay boolean"
+
+
+def _in_two_documents(hashed: DataFrame) -> DataFrame:
+    return hashed.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_repeated, "doc_id long, place int, other long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, start_word, end_word (after the last), other_doc_id: spans that matches of min_words words or more with other documents cover."""
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    anchors = docs.mapInArrow(lambda it: _emit_anchors(it, min_words, anchor), "h long, doc_id long, place int, known boolean, stay boolean")
-    places = anchors.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_repeated, "doc_id long, place int")
-    by_doc = places.groupBy(F.col("doc_id").alias("p_id")).agg(F.collect_set("place").alias("places"))
     reach = min_words - anchor
-
-    def suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, text, places in zip(*(c.to_pylist() for c in batch.columns)):
-                words = split_words(text)
-                at = np.array(sorted(places), np.int64)
-                at = at[at + anchor <= len(words)]  # a repeated doc_id may have a shorter text too
-                if not len(at):
-                    continue
-                before, after = _contexts(words, at, anchor, reach, d)
-                h = window_hashes(words, anchor)[at]
-                columns = [h.view(np.int64), np.full(len(at), d, np.int64), at.astype(np.int32), [x.tobytes() for x in after], [x.tobytes() for x in before]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "doc_id", "place", "x", "y"])
-
-    rows = docs.join(by_doc, docs["doc_id"] == by_doc["p_id"]).select("doc_id", "text", "places").mapInArrow(suffixes, _ROWS)
-    one, open_ = _compared(rows, True, min_words, anchor)
-    two, _ = _compared(open_.select("h", "doc_id", "place", F.col("y").alias("x"), F.col("x").alias("y")), False, min_words, anchor)
-    spans = one.unionByName(two).groupBy("doc_id", "start", "end").agg(F.min("other").alias("other"))
-    return spans.groupBy("doc_id").applyInPandas(_merge, "doc_id long, start_word int, end_word int, other_doc_id long")
+    anchors = docs.mapInArrow(lambda it: _emit_anchors(it, min_words, anchor), _HASHED)
+    by_doc = _in_two_documents(anchors).groupBy(F.col("doc_id").alias("p_id")).agg(F.collect_set("place").alias("places"))
+    rows = docs.join(by_doc, docs["doc_id"] == by_doc["p_id"]).select("doc_id", "text", "places").mapInArrow(lambda it: _suffixes(it, min_words, anchor), _ROWS)
+    order = ["h", "x", "y", "doc_id", "place"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartitionByRange(parts, *order[:3]).sortWithinPartitions(*order).mapInArrow(lambda it: _neighbours(it, min_words, anchor), _ROWS)
+    matches = found.where(F.col("kind") == _MATCH).select("doc_id", "start", "end", "other")
+    open_ = found.where(F.col("kind") == _OPEN).select("h", "doc_id", "place", "start", "x", "y")
+    more = _in_two_documents(open_.mapInArrow(lambda it: _splits(it, reach), _HASHED)).where(F.col("other").isNotNull())
+    return _merged(matches.unionByName(more.select("doc_id", F.col("place").alias("start"), (F.col("place") + min_words).alias("end"), "other")))
