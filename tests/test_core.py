@@ -136,8 +136,11 @@ def test_trim_drops_dead_times(spark):
 def test_components_and_scc(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == brute.components([p for p in pairs if p[0] != p[1]])
+    for local in (0, 1000):  # by rounds of stars, and in one task
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), local_edges=local).collect()}
+        assert got == brute.components([p for p in pairs if p[0] != p[1]])
+    named = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "a string, b string")
+    assert {r.node: r.component for r in connected_components(named).collect()} == brute.components([(f"n{a}", f"n{b}") for a, b in pairs if a != b])
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 6)], "src long, dst long")
     assert {r.node: r.component for r in O.strongly_connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
 
