@@ -65,7 +65,7 @@ def _emit_anchors(batches: Iterable[pa.RecordBatch], min_words: int, anchor: int
             h.append(found)
             place.append(at)
             doc.append(np.full(len(at), d, np.int64))
-        if not h:
+        if not sum(map(len, h)):
             continue
         h, doc, place = np.concatenate(h), np.concatenate(doc), np.concatenate(place)
         order = np.lexsort((doc, h))
@@ -74,7 +74,7 @@ def _emit_anchors(batches: Iterable[pa.RecordBatch], min_words: int, anchor: int
         start[1:] = h[1:] != h[:-1]
         run, first = np.cumsum(start) - 1, np.flatnonzero(start)
         last = np.append(first[1:], len(h)) - 1
-        known = (doc[first] != doc[last])[run] if len(h) else start
+        known = (doc[first] != doc[last])[run]
         stay = known.copy()
         stay[first] = False
         stay[last] = False

@@ -70,7 +70,7 @@ class ToxicityModel:
             low = text
         for start, end in sentences(low):
             total = self.bias
-            for word in set(_WORDS.findall(low, start, end)):
+            for word in dict.fromkeys(_WORDS.findall(low, start, end)):
                 value = known(word)
                 total += self._word(word) if value is None else value
             spans.append((start, end))
@@ -95,13 +95,13 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 200, rate: float = 40
     `shrink` is an L1 penalty: of some hundred thousand features a few hundred keep a weight.
     """
     if not len(texts) or toxic.min() == toxic.max():
-        return ToxicityModel(np.zeros(1 << BITS), -60.0)
+        return ToxicityModel(np.zeros(1 << BITS), -np.inf)
     vocab: dict[str, int] = {}
     occ_word, occ_sent, sent_doc = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         low = (text or "").lower()
         for start, end in sentences(low):
-            for word in set(_WORDS.findall(low, start, end)):
+            for word in dict.fromkeys(_WORDS.findall(low, start, end)):
                 occ_word.append(vocab.setdefault(word, len(vocab)))
                 occ_sent.append(len(sent_doc))
             sent_doc.append(d)
