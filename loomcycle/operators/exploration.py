@@ -151,3 +151,8 @@ def throughput(log: DataFrame) -> DataFrame:
     """Rates since the run's begin from totals."""
     t = F.col("time_seconds")
     return log.withColumn("iterations_rate", F.when(t > 0, F.col("iterations_total") / t)).withColumn("cycles_rate", F.when(t > 0, F.col("cycles_total") / t))
+
+
+def align_on_index(left: DataFrame, right: DataFrame, index: str) -> DataFrame:
+    """Columns of both side by side, outer on the index."""
+    return left.join(right, index, "full_outer")

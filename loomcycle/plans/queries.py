@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomcycle.functions.sequences import after, before, bundle_text, cardinality, path_text, trim
-from loomcycle.operators import bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K
+from loomcycle.operators import bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
 from loomcycle.plans import oracle as Q
 from loomcycle.sources.derived import event_edges, table, token_edges
 
@@ -120,6 +120,27 @@ def seeds_primed(spark, sf):
     return S.primed(S.combined_seeds(S.raw_seeds(_event_cycles(spark, sf)), DAY), now, DAY).select("root", "begin", "end")
 
 
+@register(Q.with_(*_EVENT, Q.SEEDS.format(omega=DAY)) + """SELECT root, begin, "end" FROM (SELECT root, b AS begin, e AS "end", row_number() OVER (PARTITION BY root ORDER BY b, e DESC) AS n FROM raw) WHERE n = 1""")
+def first_interval_per_root(spark, sf):
+    return O.first_per_group(S.raw_seeds(_event_cycles(spark, sf)), ["root"]).select("root", "begin", "end")
+
+
+_WEEK_IN = f"(SELECT min(t) + {3 * DAY} FROM event_edges)"
+
+
+@register(Q.with_(*_EVENT, Q.SEEDS.format(omega=DAY)) + f"""SELECT root, s_begin AS begin, s_end AS "end" FROM seeds WHERE s_begin >= {_WEEK_IN} AND s_end <= {_WEEK_IN} + {7 * DAY}""")
+def seeds_enveloped(spark, sf):
+    edges = event_edges(spark, sf)
+    lo = edges.agg(F.min("t")).first()[0] + 3 * DAY
+    return S.enveloped(S.combined_seeds(S.raw_seeds(_event_cycles(spark, sf)), DAY), lo, lo + 7 * DAY).select("root", "begin", "end")
+
+
+@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH)) + "SELECT DISTINCT concat_ws('|', root, s_begin, array_to_string(path, '>')) AS bundle, root, array_to_string(path, '>') AS path FROM assigned")
+def path_bundles(spark, sf):
+    _, found = _bundles(_token_cycles(spark, sf), MONTH)
+    return B.path_bundle(B.to_edges(found, token_edges(spark, sf))).select("bundle", "root", path_text(F.col("path")).alias("path"))
+
+
 _SIX_HOURS = DAY // 4
 _REACH = f"""reach AS (
   SELECT dst AS v, src AS x, t AS tx, t AS ta FROM event_edges
@@ -131,6 +152,17 @@ def reverse_reachability(spark, sf):
     return S.reverse_reachability(event_edges(spark, sf), _SIX_HOURS, max_hops=60)
 
 
+@register(Q.with_(Q.EVENTS, f"""s AS (SELECT dst AS v, src AS x, t FROM event_edges),
+m AS (SELECT v, x, t FROM s UNION SELECT e.dst, s.x, s.t FROM s JOIN event_edges e ON e.src = s.v AND e.t % 7 = 0),
+c AS (SELECT * FROM m WHERE v <> x AND t > (SELECT min(t) FROM event_edges) + {DAY})""") + "SELECT v, count(*) AS points, count(DISTINCT x) AS vertices, count(DISTINCT t) AS times FROM c GROUP BY 1")
+def summary_sizes(spark, sf):
+    edges = event_edges(spark, sf)
+    points = edges.select(F.col("dst").alias("v"), F.col("src").alias("x"), "t")
+    into = edges.where("t % 7 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    first = edges.agg(F.min("t")).first()[0]
+    return R.sizes(R.cut(R.exclude(R.merge(points, points, into)), first + DAY))
+
+
 @register(Q.with_(Q.EVENTS, _REACH) + f"SELECT DISTINCT r.x AS root, r.tx AS begin, e.t AS \"end\" FROM reach r JOIN event_edges e ON e.src = r.v AND e.dst = r.x AND e.t > r.ta AND e.t < r.tx + {_SIX_HOURS}")
 def return_walks(spark, sf):
     return S.return_walks(event_edges(spark, sf), _SIX_HOURS, max_hops=60)
@@ -274,6 +306,25 @@ def quantile_filter(spark, sf):
     return E.quantile_filter(token_edges(spark, sf), "price_usd", 0.75, ["token_id"]).groupBy("token_id").agg(F.count("*").alias("n"))
 
 
+@register(Q.with_(Q.EVENTS, "ends AS (SELECT t, edge_key, 0 AS side, src AS vertex FROM event_edges UNION ALL SELECT t, edge_key, 1, dst FROM event_edges)",
+                  "d AS (SELECT vertex, row_number() OVER (ORDER BY min((t, edge_key, side))) - 1 AS id FROM ends GROUP BY 1)")
+          + "SELECT s.id AS src, x.id AS dst, e.t, e.edge_key FROM event_edges e JOIN d s ON s.vertex = e.src JOIN d x ON x.vertex = e.dst")
+def encoded_edges(spark, sf):
+    edges = event_edges(spark, sf)
+    return E.encode(edges, E.vertex_dictionary(edges)).select("src", "dst", "t", "edge_key")
+
+
+@register(Q.with_(Q.TOKENS) + "SELECT src, dst, t, edge_key FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, t, edge_key) AS n FROM token_edges) WHERE n = 1")
+def composed_edges(spark, sf):
+    edges = token_edges(spark, sf)
+    return E.compose(edges.unionByName(edges)).select("src", "dst", "t", "edge_key")
+
+
+@register(Q.with_(Q.EVENTS) + "SELECT t // 600000000 AS block, src, dst FROM event_edges")
+def retimed_edges(spark, sf):
+    return E.retime(event_edges(spark, sf), F.floor(F.col("t") / 600_000_000)).withColumnRenamed("t", "block")
+
+
 # --- exploration -----------------------------------------------------------------------------------------------
 
 
@@ -283,6 +334,13 @@ def degrees(spark, sf):
     return X.degrees(event_edges(spark, sf))
 
 
+@register(Q.with_(Q.EVENTS, "o AS (SELECT src AS vertex, count(*) AS sent FROM event_edges GROUP BY 1)", "i AS (SELECT dst AS vertex, max(t) AS last FROM event_edges GROUP BY 1)") + "SELECT vertex, sent, last FROM o FULL JOIN i USING (vertex)")
+def aligned_on_index(spark, sf):
+    edges = event_edges(spark, sf)
+    sent = edges.groupBy(F.col("src").alias("vertex")).agg(F.count("*").alias("sent"))
+    return X.align_on_index(sent, edges.groupBy(F.col("dst").alias("vertex")).agg(F.max("t").alias("last")), "vertex")
+
+
 @register(Q.with_(Q.EVENTS) + "SELECT src, count(*) AS out_degree FROM event_edges GROUP BY 1 HAVING count(*) > 5")
 def frequent_sources(spark, sf):
     return X.frequent_sources(event_edges(spark, sf), 5)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcycle.functions.sequences import after, before, cardinality, split_index, trim
-from loomcycle.operators import bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K
+from loomcycle.operators import bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
 from loomcycle.operators.components import connected_components
 from tests import brute
 
@@ -174,3 +174,25 @@ def test_dictionary_round_trip(spark):
     assert sorted(d.values()) == list(range(len(d))) and d["a"] == 0 and d["b"] == 1
     coded = E.encode(edges, E.vertex_dictionary(edges))
     assert {(r.src, r.dst, r.t) for r in coded.collect()} == {(d[x[0]], d[x[1]], int(x[2:])) for x in EXAMPLE}
+
+
+def test_summaries(spark):
+    """Times 1-3, vertices v1-v3: adding, series, excluding, merging, cutting."""
+    points = spark.createDataFrame([("v", "v1", 1), ("v", "v2", 1), ("v", "v1", 2)], "v string, x string, t long")
+    more = R.add(points, spark.createDataFrame([("v", "v3", 3), ("v", "v1", 1)], "v string, x string, t long"))
+    assert (points.count(), more.count()) == (3, 4)
+    assert {r.x: r.ts for r in R.series(more).collect()} == {"v1": [1, 2], "v2": [1], "v3": [3]}
+    other = spark.createDataFrame([("w", "v", 4), ("w", "v9", 4)], "v string, x string, t long")
+    both = R.merge(points, other, spark.createDataFrame([("w", "v")], "a string, b string"))
+    assert both.count() == 5 and R.exclude(both).count() == 4 and other.count() == 2
+    assert [R.cut(points, 1, a, i).count() for a in (True, False) for i in (True, False)] == [3, 1, 2, 0]
+    assert [(r.points, r.vertices, r.times) for r in R.sizes(points).collect()] == [(3, 2, 2)]
+
+
+def test_table_function(spark):
+    from loomcycle.functions import udtf
+
+    udtf.register(spark)
+    edges = "array(struct(1L AS src, 2L AS dst, 1L AS t, 0L AS edge_key), struct(2L AS src, 1L AS dst, 3L AS t, 1L AS edge_key), struct(2L AS src, 3L AS dst, 2L AS t, 2L AS edge_key), struct(3L AS src, 1L AS dst, 4L AS t, 3L AS edge_key))"
+    got = spark.sql(f"SELECT * FROM subgraph_cycles({edges}, 10L, 0L, 2L, 5)").collect()
+    assert sorted(r.path for r in got) == [[1, 2], [1, 2, 3]]
