@@ -59,7 +59,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = repeated_passages(_table(spark, sf_dir, "documents"))
-    return spans.withColumn("n_words", F.col("end_word") - F.col("start_word"))
+    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
+_WORDS = r"""w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+  lambda x: x <> '') AS w FROM documents)"""
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": r"""
 WITH v AS (
@@ -95,6 +98,26 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op3_ngram_join": f"""
+WITH RECURSIVE {_WORDS},
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+flood AS (SELECT DISTINCT x AS node, x AS label FROM ways UNION SELECT v.y, f.label FROM flood f JOIN ways v ON v.x = f.node),
+classes AS (SELECT node, min(label) AS label FROM flood GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.label, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN classes c ON c.node = d.doc_id""",
+    "op8_suffix_array_dedup": f"""
+WITH {_WORDS},
+g AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS k, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM w WHERE len(w) >= 50),
+again AS (SELECT h FROM g GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+found AS (SELECT doc_id, k FROM g WHERE h IN (SELECT h FROM again)),
+begun AS (SELECT doc_id, k, coalesce(k > lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50, true) AS new FROM found),
+spans AS (SELECT doc_id, k, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM begun)
+SELECT doc_id, CAST(min(k) AS INTEGER) AS start_word, CAST(max(k) + 50 AS INTEGER) AS end_word, CAST(max(k) + 50 - min(k) AS INTEGER) AS n_words FROM spans GROUP BY doc_id, span""",
     "op7_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS line
