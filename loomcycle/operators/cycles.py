@@ -2,7 +2,8 @@
 
 One equi-join a hop. The key is the path's last vertex and a time bucket of width omega: a next edge lies in
 the bucket of the last time or the one after, so a hub's edges spread over its buckets, and the exact bounds
-are residual predicates. Only edges whose source is reached again within omega start a path.
+are residual predicates. Only edges whose source is reached again within omega start a path, and no path
+lasts longer than the latest such time.
 """
 
 from __future__ import annotations
@@ -15,10 +16,15 @@ MAX_LENGTH = 6
 
 
 def returning_edges(edges: DataFrame, omega: int) -> DataFrame:
-    """Edges whose source has an incoming edge later than theirs and within omega (a semi-join)."""
-    into = edges.select(F.col("dst").alias("_v"), F.col("t").alias("_t"), F.explode(F.array(F.floor(F.col("t") / omega), F.floor(F.col("t") / omega) - 1)).alias("_b"))
-    b = F.floor(edges["t"] / omega)
-    return edges.join(into, (edges["src"] == into["_v"]) & (b == into["_b"]) & (into["_t"] > edges["t"]) & (into["_t"] < edges["t"] + omega), "left_semi")
+    """Edges whose source has a later incoming edge within omega, with t_close, the latest such time.
+
+    t_close bounds every path from the edge: what would be later can't return any more.
+    """
+    bucket = F.floor(F.col("t") / omega)
+    into = edges.select(F.col("dst").alias("_v"), F.col("t").alias("_t"), F.explode(F.array(bucket, bucket - 1)).alias("_b")).distinct()
+    starts = edges.select("src", "t", bucket.alias("b")).distinct()
+    near = starts.join(into, (F.col("src") == F.col("_v")) & (F.col("b") == F.col("_b")) & (F.col("_t") > F.col("t")) & (F.col("_t") < F.col("t") + omega))
+    return edges.join(near.groupBy("src", "t").agg(F.max("_t").alias("t_close")), ["src", "t"])
 
 
 def temporal_cycles(edges: DataFrame, omega: int, max_length: int = MAX_LENGTH, min_length: int = 2) -> DataFrame:
@@ -26,17 +32,18 @@ def temporal_cycles(edges: DataFrame, omega: int, max_length: int = MAX_LENGTH,
     edges = cut_lineage(edges.select("src", "dst", "t", "edge_key").where(F.col("src") != F.col("dst")))
     step = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("t").alias("_t"), F.col("edge_key").alias("_key"), F.floor(F.col("t") / omega).alias("_b"))
     paths = returning_edges(edges, omega).select(
-        F.col("src").alias("root"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), F.col("dst").alias("cur"), F.array("src").alias("path"), F.array("t").alias("times"), F.array("edge_key").alias("edge_keys")
+        F.col("src").alias("root"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "t_close", F.col("dst").alias("cur"), F.array("src").alias("path"), F.array("t").alias("times"), F.array("edge_key").alias("edge_keys")
     )
     found = None
     for length in range(2, max_length + 1):
         bucket = F.floor(F.col("t_end") / omega)
         probe = paths.withColumn("_pb", F.explode(F.array(bucket, bucket + 1)))
-        met = probe.join(step, (F.col("cur") == F.col("_src")) & (F.col("_pb") == F.col("_b")) & (F.col("_t") > F.col("t_end")) & (F.col("_t") < F.col("t_start") + omega))
+        met = probe.join(step, (F.col("cur") == F.col("_src")) & (F.col("_pb") == F.col("_b")) & (F.col("_t") > F.col("t_end")) & (F.col("_t") <= F.col("t_close")))
         closes = F.col("_dst") == F.col("root")
-        met = met.where(closes | ~F.array_contains("path", F.col("_dst"))) if length < max_length else met.where(closes)
+        goes_on = ~F.array_contains("path", F.col("_dst")) & (F.col("_t") < F.col("t_close"))
+        met = met.where(closes | goes_on) if length < max_length else met.where(closes)
         grown = met.select(
-            "root", "t_start", F.col("_t").alias("t_end"), F.col("_dst").alias("cur"), F.array_append("path", F.col("cur")).alias("path"),
+            "root", "t_start", F.col("_t").alias("t_end"), "t_close", F.col("_dst").alias("cur"), F.array_append("path", F.col("cur")).alias("path"),
             F.array_append("times", F.col("_t")).alias("times"), F.array_append("edge_keys", F.col("_key")).alias("edge_keys"), closes.alias("closed"),
         )
         grown = cut_lineage(grown)
