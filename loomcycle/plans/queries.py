@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomcycle.functions.sequences import after, before, bundle_text, cardinality, path_text, trim
-from loomcycle.operators import bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
+from loomcycle.operators import bundle_search as P, bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
 from loomcycle.plans import oracle as Q
 from loomcycle.sources.derived import event_edges, table, token_edges
 
@@ -189,6 +189,15 @@ def bundle_cardinality(spark, sf):
     return found.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "cardinality")
 
 
+@register(Q.with_(*Q.bundled("event_edges", DAY, LENGTH)) + _BUNDLE_ROWS.replace("AS cardinality", "AS choices"))
+def bundle_search(spark, sf):
+    """The same bundles grown as arrays within each seed's subgraph."""
+    edges = event_edges(spark, sf)
+    seeds = S.combined_seeds(S.raw_seeds(C.temporal_cycles(edges, DAY, LENGTH)), DAY)
+    found = P.bundled_cycles(edges, seeds, LENGTH)
+    return found.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "choices")
+
+
 @register(Q.with_(*Q.bundled("event_edges", DAY, LENGTH)) + "SELECT root, s_begin AS begin, array_to_string(path, '>') AS path, count(*) AS choices FROM assigned GROUP BY ALL")
 def bundle_choices(spark, sf):
     """Cardinality by the fold over hop times (event times are distinct, so it equals the enumerated count)."""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomcycle.functions.sequences import after, before, cardinality, split_index, trim
-from loomcycle.operators import bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
+from loomcycle.operators import bundle_search as P, bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
 from loomcycle.operators.components import connected_components
 from tests import brute
 
@@ -115,6 +115,8 @@ def test_random_graphs(spark):
         expect[root, g[1], path].append(times)
     got = {(r.root, r.begin, tuple(r.path)): (r.bundle, r.cardinality) for r in bundles.collect()}
     assert got == {k: ([sorted(set(hop)) for hop in zip(*v)], len(v)) for k, v in expect.items()}
+    grown = P.bundled_cycles(frame(spark, rows), seeds, 5)
+    assert {(r.root, r.begin, tuple(r.path)): r.bundle for r in grown.collect()} == {k: v[0] for k, v in got.items()}
     # without a bound on length, the walks that return are just the raw seeds
     edges = frame(spark, rows)
     walks = {(r.root, r.begin, r.end) for r in S.return_walks(edges, 8).collect()}
