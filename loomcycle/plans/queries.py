@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomcycle.functions.times import micros_of
 from loomcycle.functions.sequences import after, before, bundle_text, cardinality, path_text, trim
 from loomcycle.operators import bundle_search as P, bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
 from loomcycle.plans import oracle as Q
+from loomcycle.streaming.windows import streaming_cycles
+from loomcycle.session import ensure_checkpoint_dir
+from loomcycle.sources import files as I, sinks as W_
 from loomcycle.sources.derived import event_edges, table, token_edges
 
 DAY = Q.DAY
@@ -486,3 +491,52 @@ def strong_components(spark, sf):
     edges = event_edges(spark, sf)
     first = edges.agg(F.min("t")).first()[0]
     return O.strongly_connected_components(edges.where(F.col("t") < first + DAY))
+
+
+# --- sources, sinks, streams -------------------------------------------------------------------------------------
+
+
+@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH)) + """SELECT bundle, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, t, CAST(edge_key AS VARCHAR) AS edge_key, CAST(token_id AS VARCHAR) AS token_id, price_usd FROM bundle_edges""")
+def graph_json_round_trip(spark, sf):
+    rows = W_.graph_json(_token_bundle_edges(spark, sf))
+    decoded = rows.withColumn("graph", I.decode_graph(F.col("graph")))
+    return I.graph_edges(decoded, keep=["bundle"]).select("bundle", "src", "dst", "t", "edge_key", "token_id", "price_usd")
+
+
+@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH)) + """SELECT DISTINCT concat_ws('|', a.root, a.s_begin, array_to_string(a.path, '>')) AS bundle, s.s_begin / 1e6 AS seed_begin, s.s_end / 1e6 AS seed_end, s.next_begin / 1e6 AS next_seed_begin,
+'["' || array_to_string(s.candidates, '","') || '"]' AS candidates FROM assigned a JOIN seeds s ON s.root = a.root AND s.s_begin = a.s_begin""")
+def cycle_table(spark, sf):
+    edges = token_edges(spark, sf)
+    seeds, found = _bundles(C.temporal_cycles(edges, MONTH, LENGTH), MONTH)
+    return W_.cycle_table(found, seeds, B.to_edges(found, edges)).drop("graph")
+
+
+@register("SELECT event_id, epoch_us(ts) AS from_text, epoch_us(date_trunc('second', ts)) AS from_seconds, epoch_us(ts) AS from_timestamp FROM events")
+def timestamp_extraction(spark, sf):
+    e = table(spark, sf, "events")
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("double")
+    return e.select("event_id", micros_of(text, "string").alias("from_text"), micros_of(seconds, "double").alias("from_seconds"), micros_of(F.col("ts"), "timestamp_ntz").alias("from_timestamp"))
+
+
+@register("SELECT o_orderkey AS src, l_linenumber AS dst, l_extendedprice AS price_usd FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 <> 0 AND l_linenumber = o_custkey % 5 AND l_discount > 0.02")
+def trade_filter(spark, sf):
+    both = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = both.select(F.col("o_orderkey").alias("from"), F.col("l_linenumber").alias("to"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey") % 5).alias("buyer"), F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice")).alias("price_usd"))
+    return E.from_transactions(E.clean_trades(rows))
+
+
+@register(Q.with_(Q.EVENTS, Q.cycles("event_edges", _SIX_HOURS, 4)) + "SELECT root, t_start, t_end, length, array_to_string(path, '>') AS path, array_to_string(times, '>') AS times FROM cycles")
+def streaming_cycles_6h(spark, sf):
+    """Edges from files that are there already; a last edge far beyond the end flushes the open windows."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    edges = event_edges(spark, sf).withColumn("ts", F.timestamp_micros("t")).drop("t")
+    edges.write.parquet(f"{folder}/in")
+    edges.agg(F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(-1).cast("long").alias("edge_key"), F.timestamp_micros(F.unix_micros(F.max("ts")) + 9 * _SIX_HOURS).alias("ts")).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(edges.schema).parquet(f"{folder}/in")
+    found = streaming_cycles(stream, _SIX_HOURS, 4)
+    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    return rows.select("root", "t_start", "t_end", "length", path_text(F.col("path")).alias("path"), path_text(F.col("times")).alias("times"))

@@ -92,6 +92,7 @@ def test_times(spark):
     df = spark.createDataFrame([("1970-01-01T00:00:02", 3.5)], "datetime string, timestamp double")
     assert df.select(edge_time(dict(df.dtypes))).first()[0] == 2 * S1
     assert df.select(micros_of(F.col("timestamp"), "double")).first()[0] == 3_500_000
+    assert df.select(micros_of(F.lit("no time"), "string"), micros_of(F.lit("2.5"), "string")).first()[:] == (None, 2_500_000)
     assert omega_micros(dt.timedelta(hours=1)) == 3600 * S1 and omega_micros(2) == 2 * S1
     with pytest.raises(TypeError):
         micros_of(F.col("x"), "binary")
