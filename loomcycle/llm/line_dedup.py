@@ -18,13 +18,13 @@ whose largest holder is that doc_id. An empty table gives an empty result. Furth
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh3_128_digest
 
 from loomcycle.session import cut_lineage
 
@@ -33,23 +33,16 @@ SHARD_KEYS = 1 << 15
 BROADCAST_BYTES = 48 << 20
 _NO_ID = -(1 << 63)
 _SPACE = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
 _KEYS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64())])
 
 
-def line_key(line: str) -> str:
-    return line.strip(_SPACE).translate(_LOWER)
-
-
 def key_hashes(lines: list[str], min_chars: int) -> tuple[list[int], np.ndarray]:
     """Places of the lines with a key, and an (n, 2) array of their hashes."""
     at, out = [], []
     for i, line in enumerate(lines):
-        if len(line) >= min_chars:
-            key = line_key(line)
-            if len(key) >= min_chars:
-                at.append(i)
-                out.append(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+        if len(line) >= min_chars and len(key := line.strip(_SPACE)) >= min_chars:
+            at.append(i)
+            out.append(xxh3_128_digest(key.encode("utf-8", "surrogatepass").lower()))  # of bytes: only A-Z
     return at, np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
 
 
