@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are the instances, documents carry the labels.
 
 A sentence's probability is a logistic function of its distinct words, each a sum of hashed weights of
-the word and its character 4- and 5-grams; a document is toxic unless every sentence is clean
+the word and its character 4-grams; a document is toxic unless every sentence is clean
 (noisy-or). Training climbs the likelihood of document labels only, so the blame settles on the
 sentences that tell toxic documents from clean ones, and those are returned with the score.
 
@@ -25,8 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-BITS = 18
-SAMPLE_PER_CLASS = 3000
+BITS, GRAM = 18, 5
+SAMPLE_PER_CLASS = 2000
 THRESHOLD = 0.7
 _WORDS, _ENDS = re.compile(r"\w+"), re.compile(r"[.!?\n]+")
 _CACHE = 300_000
@@ -45,7 +45,7 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 
 def word_features(word: str) -> list[int]:
     padded, mask = f"<{word}>", (1 << BITS) - 1
-    grams = {padded} | {padded[i : i + n] for n in (4, 5) for i in range(len(padded) - n + 1)}
+    grams = {padded} | {padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in sorted(grams)]
 
 
