@@ -52,10 +52,13 @@ def window_hashes(words: list[bytes], size: int) -> np.ndarray:
     """One hash for each place where `size` words begin, in order; none if there are fewer words."""
     if len(words) < size:
         return np.empty(0, np.uint64)
+    most = _LIMIT // (2 * size) - 1  # by size alone, so that equal words count alike in all texts; 2 * size - 1 words fit
+    if most < 33:
+        raise ValueError(f"stretches of {size} words are too long to hash")
     longest = max(map(len, words)) + 1
-    if longest * size >= _LIMIT:  # words of tens of thousands of bytes: stand in for them by digests
-        words = [w if len(w) < 64 else b"\xff" + hashlib.blake2b(w, digest_size=16).hexdigest().encode() for w in words]
-        return window_hashes(words, size)
+    if longest > most + 1:  # digests stand in for words of thousands of bytes
+        words = [w if len(w) <= most else b"\xff" + hashlib.blake2b(w, digest_size=16).hexdigest().encode() for w in words]
+        longest = max(map(len, words)) + 1
     step = max(size, min(_SEGMENT, _LIMIT // longest - size))
     if len(words) <= step or sum(map(len, words)) + len(words) < _LIMIT:
         return _stretches(words, size)

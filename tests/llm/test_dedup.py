@@ -160,6 +160,20 @@ def test_window_hashes_of_long_texts_and_words():
     assert len(set(window_hashes([long_word, b"a", b"b", b"c", b"d", long_word + b"z", b"a", b"b", b"c", b"d"], 5).tolist())) == 6
 
 
+def test_long_words_hash_alike_whatever_else_a_text_holds():
+    passage = [b"w%d" % k for k in range(25)] + [b"http://" + b"u" * 63] + [b"v%d" % k for k in range(24)]
+    whole = window_hashes(passage, 32)
+    assert (window_hashes([*passage, b"x" * 9_000], 32)[: len(whole)] == whole).all()
+    runs = [bytes([97 + k]) * 90 for k in range(20)]
+    alone = window_hashes(runs, 5)
+    assert (window_hashes([*runs, b"z" * 60_000], 5)[: len(alone)] == alone).all()
+    for n in (4_094, 4_095, 4_096, 5_000):  # 63 words of the longest fit the tables
+        words = [b"%d-" % (k % 10) + b"y" * (n - 2) for k in range(200)]
+        got = window_hashes(words, 32)
+        assert len(got) == 169 and (got[100:110] == window_hashes(words[100:141], 32)).all()
+        assert (got == window_hashes([*words, b"q" * 100_000], 32)[:169]).all() and len(set(got.tolist())) == 10
+
+
 # --- passages ---
 
 
