@@ -7,16 +7,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from loomcycle.session import cut_lineage
 
 
-def reverse_reachability(edges: DataFrame, omega: int, max_hops: int = 16) -> DataFrame:
+def reverse_reachability(edges: DataFrame, omega: int, max_hops: int | None = None) -> DataFrame:
     """(v, x, tx, ta): a strict path leaves x at tx and first arrives at v at ta, within omega.
 
-    Semi-naive: each round extends only what the last one improved.
+    Semi-naive: each round extends only what the last one improved. Times ascend, so it ends; if paths are still
+    open after max_hops further hops, it raises.
     """
     e = cut_lineage(edges.where("src <> dst").select("src", "dst", "t").distinct())
     step = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("t").alias("_t"), F.floor(F.col("t") / omega).alias("_b"))
     best = e.select(F.col("dst").alias("v"), F.col("src").alias("x"), F.col("t").alias("tx"), F.col("t").alias("ta"))
     fresh = best
-    for _ in range(max_hops):
+    hops = 0
+    while True:
         bucket = F.floor(F.col("ta") / omega)
         probe = fresh.withColumn("_pb", F.explode(F.array(bucket, bucket + 1)))
         met = probe.join(step, (F.col("v") == F.col("_s")) & (F.col("_pb") == F.col("_b")) & (F.col("_t") > F.col("ta")) & (F.col("_t") < F.col("tx") + omega) & (F.col("_d") != F.col("x")))
@@ -26,12 +28,14 @@ def reverse_reachability(edges: DataFrame, omega: int, max_hops: int = 16) -> Da
         fresh = cut_lineage(fresh)
         if fresh.isEmpty():
             return best
+        if hops == max_hops:
+            raise RuntimeError(f"paths are still open after {max_hops} hops")
+        hops += 1
         best = cut_lineage(best.unionByName(fresh).groupBy("v", "x", "tx").agg(F.min("ta").alias("ta")))
-    return best
 
 
-def return_walks(edges: DataFrame, omega: int, max_hops: int = 16) -> DataFrame:
-    """(root, begin, end) of every strict walk that leaves a root and returns within omega: no bound on its length but max_hops."""
+def return_walks(edges: DataFrame, omega: int, max_hops: int | None = None) -> DataFrame:
+    """(root, begin, end) of every strict walk that leaves a root and returns within omega: no bound on its length, unless max_hops is given."""
     reach = reverse_reachability(edges, omega, max_hops)
     e = edges.where("src <> dst").select("src", "dst", "t").distinct()
     back = reach.join(e, (reach["v"] == e["src"]) & (reach["x"] == e["dst"]) & (e["t"] > reach["ta"]) & (e["t"] < reach["tx"] + omega))

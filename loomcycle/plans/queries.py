@@ -154,7 +154,7 @@ _REACH = f"""reach AS (
 
 @register(Q.with_(Q.EVENTS, _REACH) + "SELECT v, x, tx, min(ta) AS ta FROM reach GROUP BY 1, 2, 3")
 def reverse_reachability(spark, sf):
-    return S.reverse_reachability(event_edges(spark, sf), _SIX_HOURS, max_hops=60)
+    return S.reverse_reachability(event_edges(spark, sf), _SIX_HOURS)
 
 
 @register(Q.with_(Q.EVENTS, f"""s AS (SELECT dst AS v, src AS x, t FROM event_edges),
@@ -170,7 +170,7 @@ def summary_sizes(spark, sf):
 
 @register(Q.with_(Q.EVENTS, _REACH) + f"SELECT DISTINCT r.x AS root, r.tx AS begin, e.t AS \"end\" FROM reach r JOIN event_edges e ON e.src = r.v AND e.dst = r.x AND e.t > r.ta AND e.t < r.tx + {_SIX_HOURS}")
 def return_walks(spark, sf):
-    return S.return_walks(event_edges(spark, sf), _SIX_HOURS, max_hops=60)
+    return S.return_walks(event_edges(spark, sf), _SIX_HOURS)
 
 
 @register(Q.with_(*_EVENT, Q.SEEDS.format(omega=DAY)) + """SELECT s.root AS seed_root, s.s_begin AS begin, count(*) AS edges, CAST(sum(e.t - s.s_begin) AS BIGINT) AS offset_sum

@@ -123,6 +123,17 @@ def test_random_graphs(spark):
     assert walks == {(root, times[0], times[-1]) for root, times, *_ in brute.cycles(rows, 8, 99)}
 
 
+def test_reachability_without_a_bound_on_hops(spark):
+    rows = [(f"v{i}", f"v{i + 1}", i, i) for i in range(25)] + [("v25", "v0", 25, 25)]
+    edges = frame(spark, rows)
+    assert S.reverse_reachability(edges, 100).where("x = 'v0' AND v = 'v25' AND ta = 24").count() == 1
+    assert [tuple(r) for r in S.return_walks(edges, 100).collect()] == [("v0", 0, 25)]
+    few = frame(spark, rows[:4])
+    assert S.reverse_reachability(few, 100, 3).count() == 10
+    with pytest.raises(RuntimeError):
+        S.reverse_reachability(few, 100, 2)
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([([1, 3, 3, 7],)], "ts array<long>")
     r = df.select(before(F.col("ts"), F.lit(3)), before(F.col("ts"), F.lit(3), True), after(F.col("ts"), F.lit(3)), after(F.col("ts"), F.lit(3), True), split_index(F.col("ts"), F.lit(3)), split_index(F.col("ts"), F.lit(3), "after")).first()
