@@ -8,15 +8,20 @@ parallel edges cost one array here; the enumeration in `cycles` costs a row for
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from loomcycle.functions.sequences import cardinality, trim
+from loomcycle.operators.cycles import warn_if_open
 from loomcycle.operators.seeds import seed_subgraph
 from loomcycle.session import cut_lineage
 
 
-def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int) -> DataFrame:
-    """root, begin, end, path, bundle, choices (ascending choices of one time a hop), for combined seeds."""
+def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int | None = None) -> DataFrame:
+    """root, begin, end, path, bundle, choices (ascending choices of one time a hop), for combined seeds. A max_length that leaves paths open gives a warning."""
+    if max_length is not None and max_length < 2:
+        raise ValueError("max_length is below 2")
     sub = seed_subgraph(seeds, edges.where(F.col("src") != F.col("dst")))
     adjacency = cut_lineage(sub.groupBy("seed_id", "src", "dst").agg(F.sort_array(F.collect_set("t")).alias("ts")))
     step = adjacency.select(F.col("seed_id").alias("_seed"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("ts").alias("_ts"))
@@ -25,11 +30,14 @@ def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int) -> DataF
     first = F.filter("ts", lambda t: t < F.col("next_begin"))
     paths = starts.select("seed_id", "root", "begin", "end", F.array("root").alias("path"), F.col("dst").alias("cur"), F.array(first).alias("bundle")).where(F.size(F.col("bundle")[0]) > 0)
     found = None
-    for length in range(2, max_length + 1):
+    for length in count(2):
         met = paths.join(step, (F.col("seed_id") == F.col("_seed")) & (F.col("cur") == F.col("_src")))
         closes = F.col("_dst") == F.col("root")
-        met = met.where(closes if length == max_length else closes | ~F.array_contains("path", F.col("_dst")))
+        goes_on = ~F.array_contains("path", F.col("_dst"))
         after = F.filter("_ts", lambda t: t > F.array_min(F.element_at("bundle", -1)))
+        if length == max_length:
+            warn_if_open(met.where(~closes & goes_on & (F.size(after) > 0)), max_length)
+        met = met.where(closes if length == max_length else closes | goes_on)
         grown = met.select(
             "seed_id", "root", "begin", "end", F.array_append("path", F.col("cur")).alias("path"), F.col("_dst").alias("cur"), F.array_append("bundle", after).alias("bundle"), closes.alias("closed")
         ).where(F.size(F.element_at("bundle", -1)) > 0)
@@ -37,6 +45,6 @@ def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int) -> DataF
         closed = grown.where("closed").select("root", "begin", "end", "path", trim(F.col("bundle")).alias("bundle"))
         found = closed if found is None else found.unionByName(closed)
         paths = grown.where("not closed").drop("closed")
-        if length < max_length and paths.isEmpty():
+        if length == max_length or paths.isEmpty():
             break
     return found.withColumn("choices", cardinality(F.col("bundle")))

@@ -8,12 +8,13 @@ lasts longer than the latest such time.
 
 from __future__ import annotations
 
+import warnings
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from loomcycle.session import cut_lineage
 
-MAX_LENGTH = 6
-
 
 def returning_edges(edges: DataFrame, omega: int) -> DataFrame:
     """Edges whose source has a later incoming edge within omega, with t_close, the latest such time.
@@ -27,21 +28,29 @@ def returning_edges(edges: DataFrame, omega: int) -> DataFrame:
     return edges.join(near.groupBy("src", "t").agg(F.max("_t").alias("t_close")), ["src", "t"])
 
 
-def temporal_cycles(edges: DataFrame, omega: int, max_length: int = MAX_LENGTH, min_length: int = 2) -> DataFrame:
-    """root, t_start, t_end, length, path, times, edge_keys of every cycle of min_length to max_length edges."""
+def temporal_cycles(edges: DataFrame, omega: int, max_length: int | None = None, min_length: int = 2) -> DataFrame:
+    """root, t_start, t_end, length, path, times, edge_keys of every cycle of min_length edges at least.
+
+    Times ascend and no vertex repeats, so the search ends by itself. A max_length stops it earlier, with a
+    warning if paths are still open then; where just one length is asked for, nothing is lost.
+    """
+    if max_length is not None and max_length < min_length:
+        raise ValueError("max_length is below min_length")
     edges = cut_lineage(edges.select("src", "dst", "t", "edge_key").where(F.col("src") != F.col("dst")))
     step = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("t").alias("_t"), F.col("edge_key").alias("_key"), F.floor(F.col("t") / omega).alias("_b"))
     paths = returning_edges(edges, omega).select(
         F.col("src").alias("root"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "t_close", F.col("dst").alias("cur"), F.array("src").alias("path"), F.array("t").alias("times"), F.array("edge_key").alias("edge_keys")
     )
     found = None
-    for length in range(2, max_length + 1):
+    for length in count(2):
         bucket = F.floor(F.col("t_end") / omega)
         probe = paths.withColumn("_pb", F.explode(F.array(bucket, bucket + 1)))
         met = probe.join(step, (F.col("cur") == F.col("_src")) & (F.col("_pb") == F.col("_b")) & (F.col("_t") > F.col("t_end")) & (F.col("_t") <= F.col("t_close")))
         closes = F.col("_dst") == F.col("root")
         goes_on = ~F.array_contains("path", F.col("_dst")) & (F.col("_t") < F.col("t_close"))
-        met = met.where(closes | goes_on) if length < max_length else met.where(closes)
+        if length == max_length > min_length:
+            warn_if_open(met.where(~closes & goes_on), max_length)
+        met = met.where(closes | goes_on) if length != max_length else met.where(closes)
         grown = met.select(
             "root", "t_start", F.col("_t").alias("t_end"), "t_close", F.col("_dst").alias("cur"), F.array_append("path", F.col("cur")).alias("path"),
             F.array_append("times", F.col("_t")).alias("times"), F.array_append("edge_keys", F.col("_key")).alias("edge_keys"), closes.alias("closed"),
@@ -51,9 +60,13 @@ def temporal_cycles(edges: DataFrame, omega: int, max_length: int = MAX_LENGTH,
             closed = grown.where("closed").select("root", "t_start", "t_end", F.size("path").alias("length"), "path", "times", "edge_keys")
             found = closed if found is None else found.unionByName(closed)
         paths = grown.where("not closed").drop("closed")
-        if length < max_length and paths.isEmpty():
-            break
-    return found
+        if found is not None and (length == max_length or paths.isEmpty()):
+            return found
+
+
+def warn_if_open(paths: DataFrame, max_length: int) -> None:
+    if not paths.isEmpty():
+        warnings.warn(f"paths are still open at max_length {max_length}: longer cycles may be missing", stacklevel=3)
 
 
 def temporal_digons(edges: DataFrame) -> DataFrame:

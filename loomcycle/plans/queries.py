@@ -266,6 +266,40 @@ def boundary_table(spark, sf):
     return O.boundary_table(_numbered(_token_bundle_edges(spark, sf)), 10).withColumn("mean_key", F.round(F.col("mean_key") / 1e6, 3))
 
 
+# --- without a bound on length: no SQL, tests compare the operators with brute force -----------------------------
+
+
+@register(None)
+def cycles_event_6h_all(spark, sf):
+    found = C.temporal_cycles(event_edges(spark, sf), _SIX_HOURS)
+    return found.select("root", "t_start", "t_end", "length", *[path_text(F.col(c)).alias(c) for c in ("path", "times", "edge_keys")])
+
+
+@register(None)
+def cycles_token_30d_all(spark, sf):
+    found = C.temporal_cycles(token_edges(spark, sf), MONTH)
+    return found.select("root", "t_start", "t_end", "length", *[path_text(F.col(c)).alias(c) for c in ("path", "times", "edge_keys")])
+
+
+@register(None)
+def seeds_token_30d_all(spark, sf):
+    found = S.combined_seeds(S.raw_seeds(C.temporal_cycles(token_edges(spark, sf), MONTH)), MONTH)
+    return found.withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
+
+
+@register(None)
+def bundles_token_30d_all(spark, sf):
+    _, found = _bundles(C.temporal_cycles(token_edges(spark, sf), MONTH), MONTH)
+    return found.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "cardinality")
+
+
+@register(None)
+def cycle_measures_all(spark, sf):
+    edges = token_edges(spark, sf)
+    _, found = _bundles(C.temporal_cycles(edges, MONTH), MONTH)
+    return M.graph_counts(B.to_edges(found, edges))
+
+
 # --- edges -----------------------------------------------------------------------------------------------------
 
 

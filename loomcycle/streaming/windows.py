@@ -15,8 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from loomcycle.operators.cycles import MAX_LENGTH
-
+MAX_LENGTH = 6
 SCHEMA = "root long, t_start long, t_end long, length int, path array<long>, times array<long>, edge_keys array<long>"
 
 

@@ -123,6 +123,18 @@ def test_random_graphs(spark):
     assert walks == {(root, times[0], times[-1]) for root, times, *_ in brute.cycles(rows, 8, 99)}
 
 
+def test_cycles_without_a_bound_on_length(spark):
+    rows = [(f"v{i}", f"v{(i + 1) % 9}", i, i) for i in range(9)] + [("v3", "v0", 20, 9), ("v4", "v1", 21, 10)]
+    edges = frame(spark, rows)
+    found = C.temporal_cycles(edges, 100)
+    assert sorted((r.root, tuple(r.times), tuple(r.path), tuple(r.edge_keys)) for r in found.collect()) == sorted(brute.cycles(rows, 100, 99))
+    assert found.agg(F.max("length")).first()[0] == 9
+    seeds = S.combined_seeds(S.raw_seeds(found), 100)
+    assert P.bundled_cycles(edges, seeds).agg(F.max(F.size("path"))).first()[0] == 9
+    with pytest.warns(UserWarning, match="still open at max_length 6"):
+        C.temporal_cycles(edges, 100, 6)
+
+
 def test_reachability_without_a_bound_on_hops(spark):
     rows = [(f"v{i}", f"v{i + 1}", i, i) for i in range(25)] + [("v25", "v0", 25, 25)]
     edges = frame(spark, rows)
