@@ -562,6 +562,15 @@ def trade_filter(spark, sf):
 
 @register(Q.with_(Q.EVENTS, Q.cycles("event_edges", _SIX_HOURS, 4)) + "SELECT root, t_start, t_end, length, array_to_string(path, '>') AS path, array_to_string(times, '>') AS times FROM cycles")
 def streaming_cycles_6h(spark, sf):
+    return _streamed(spark, sf, 4)
+
+
+@register(None)
+def streaming_cycles_6h_all(spark, sf):
+    return _streamed(spark, sf, None)
+
+
+def _streamed(spark: SparkSession, sf: str, max_length: int | None) -> DataFrame:
     """Edges from files that are there already; a last edge far beyond the end flushes the open windows."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
@@ -569,7 +578,7 @@ def streaming_cycles_6h(spark, sf):
     edges.write.parquet(f"{folder}/in")
     edges.agg(F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(-1).cast("long").alias("edge_key"), F.timestamp_micros(F.unix_micros(F.max("ts")) + 9 * _SIX_HOURS).alias("ts")).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(edges.schema).parquet(f"{folder}/in")
-    found = streaming_cycles(stream, _SIX_HOURS, 4)
+    found = streaming_cycles(stream, _SIX_HOURS, max_length)
     query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.schema(found.schema).parquet(f"{folder}/out")

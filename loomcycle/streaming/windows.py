@@ -9,26 +9,35 @@ need a later edge, or a batch run over the tail.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-MAX_LENGTH = 6
 SCHEMA = "root long, t_start long, t_end long, length int, path array<long>, times array<long>, edge_keys array<long>"
 
 
-def window_cycles(edges: list[tuple[int, int, int, int]], omega: int, first_half_end: int, max_length: int) -> Iterator[tuple]:
-    """Depth-first search over (src, dst, t, key) of one window, by times and with dead ends cut by the span."""
+def window_cycles(edges: list[tuple[int, int, int, int]], omega: int, first_half_end: int, max_length: int | None = None) -> Iterator[tuple]:
+    """Depth-first search over (src, dst, t, key) of one window, by times and with dead ends cut by the latest return to the root.
+
+    Times ascend, so it ends without a max_length.
+    """
     out: dict[int, list[tuple[int, int, int]]] = {}
+    back: dict[int, list[int]] = {}
     for src, dst, t, key in sorted(edges, key=lambda e: e[2]):
         if src != dst:
             out.setdefault(src, []).append((t, dst, key))
+            back.setdefault(dst, []).append(t)
+    times_of = {v: [t for t, _, _ in found] for v, found in out.items()}
     for root, starts in out.items():
         for t0, second, key0 in starts:
             if t0 >= first_half_end:
                 break
+            last = bisect_left(back.get(root, ()), t0 + omega)
+            if not last or (close := back[root][last - 1]) <= t0:
+                continue
             stack = [((root,), (t0,), (key0,), second)]
             while stack:
                 path, times, keys, cur = stack.pop()
@@ -37,12 +46,12 @@ def window_cycles(edges: list[tuple[int, int, int, int]], omega: int, first_half
                     continue
                 if len(path) == max_length or cur in path:
                     continue
-                for t, nxt, key in out.get(cur, ()):
-                    if times[-1] < t < t0 + omega:
-                        stack.append(((*path, cur), (*times, t), (*keys, key), nxt))
+                leaving = times_of.get(cur, ())
+                for t, nxt, key in out.get(cur, ())[bisect_right(leaving, times[-1]) : bisect_right(leaving, close)]:
+                    stack.append(((*path, cur), (*times, t), (*keys, key), nxt))
 
 
-def streaming_cycles(edges: DataFrame, omega: int, max_length: int = MAX_LENGTH, time_col: str = "ts") -> DataFrame:
+def streaming_cycles(edges: DataFrame, omega: int, max_length: int | None = None, time_col: str = "ts") -> DataFrame:
     """edges: src, dst, edge_key and an event time. Late edges beyond 2 omega are dropped."""
     width, slide = f"{2 * omega} microseconds", f"{omega} microseconds"
     timed = edges.withWatermark(time_col, width)

@@ -113,6 +113,12 @@ def test_window_search_equals_enumeration():
         assert sorted((c[0], tuple(c[5]), tuple(c[4]), tuple(c[6])) for c in found) == sorted(brute.cycles(rows, 7, 5))
 
 
+def test_window_search_without_a_bound_on_length():
+    rows = [(v, (v + 1) % 9, v, v) for v in range(9)] + [(3, 0, 20, 9), (4, 1, 21, 10)]
+    found = sorted((c[0], tuple(c[5]), tuple(c[4]), tuple(c[6])) for c in window_cycles(rows, 100, 100))
+    assert found == sorted(brute.cycles(rows, 100, 99)) and max(len(c[1]) for c in found) == 9
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     import random
 
