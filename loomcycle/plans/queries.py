@@ -527,6 +527,11 @@ def strong_components(spark, sf):
     return O.strongly_connected_components(edges.where(F.col("t") < first + DAY))
 
 
+@register(None)
+def strong_components_all(spark, sf):
+    return O.strongly_connected_components(event_edges(spark, sf))
+
+
 # --- sources, sinks, streams -------------------------------------------------------------------------------------
 
 

@@ -170,6 +170,21 @@ def test_components_and_scc(spark):
     assert {r.node: r.component for r in O.strongly_connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
 
 
+def whole_events(monkeypatch, spark):
+    """The event edges of the queries: two days, the second one without a time that 7 divides."""
+    from loomcycle.plans import queries as Q
+
+    rows = [(1, 2, 0, 0), (2, 3, 7, 1), (3, 1, 2 * Q.DAY + 1, 2), (3, 4, 2 * Q.DAY + 3, 3), (4, 5, 2 * Q.DAY + 4, 4), (5, 4, 2 * Q.DAY + 5, 5)]
+    assert all(t % 7 for _, _, t, _ in rows[2:])
+    monkeypatch.setattr(Q, "event_edges", lambda spark, sf: spark.createDataFrame(rows, "src long, dst long, t long, edge_key long"))
+    return Q, rows
+
+
+def test_strong_components_of_whole_tables(spark, monkeypatch):
+    Q, _ = whole_events(monkeypatch, spark)
+    assert {r.node: r.component for r in Q.QUERIES["strong_components_all"](spark, "").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
 def test_static_cycles(spark):
     edges = frame(spark, "ab1 bc1 cd1 da1 ac1 ba1".split())
     assert {"".join(r.path) for r in K.static_cycles(edges, 4).collect()} == {"ab", "acd", "abcd"}
