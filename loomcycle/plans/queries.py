@@ -162,8 +162,18 @@ m AS (SELECT v, x, t FROM s UNION SELECT e.dst, s.x, s.t FROM s JOIN event_edges
 c AS (SELECT * FROM m WHERE v <> x AND t > (SELECT min(t) FROM event_edges) + {DAY})""") + "SELECT v, count(*) AS points, count(DISTINCT x) AS vertices, count(DISTINCT t) AS times FROM c GROUP BY 1")
 def summary_sizes(spark, sf):
     edges = event_edges(spark, sf)
+    return _summary_sizes(edges, edges.where("t % 7 = 0"))
+
+
+@register(None)
+def summary_sizes_all(spark, sf):
+    edges = event_edges(spark, sf)
+    return _summary_sizes(edges, edges)
+
+
+def _summary_sizes(edges: DataFrame, over: DataFrame) -> DataFrame:
     points = edges.select(F.col("dst").alias("v"), F.col("src").alias("x"), "t")
-    into = edges.where("t % 7 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    into = over.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     first = edges.agg(F.min("t")).first()[0]
     return R.sizes(R.cut(R.exclude(R.merge(points, points, into)), first + DAY))
 

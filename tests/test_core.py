@@ -185,6 +185,18 @@ def test_strong_components_of_whole_tables(spark, monkeypatch):
     assert {r.node: r.component for r in Q.QUERIES["strong_components_all"](spark, "").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
+def test_summaries_merged_over_whole_tables(spark, monkeypatch):
+    Q, rows = whole_events(monkeypatch, spark)
+    points = {(dst, src, t) for src, dst, t, _ in rows}
+    points |= {(b, x, t) for v, x, t in points for a, b, *_ in rows if a == v}
+    want = {}
+    for v, x, t in points:
+        if v != x and t > Q.DAY:
+            want.setdefault(v, []).append((x, t))
+    got = {r.v: (r.points, r.vertices, r.times) for r in Q.QUERIES["summary_sizes_all"](spark, "").collect()}
+    assert got == {v: (len(p), len({x for x, _ in p}), len({t for _, t in p})) for v, p in want.items()}
+
+
 def test_static_cycles(spark):
     edges = frame(spark, "ab1 bc1 cd1 da1 ac1 ba1".split())
     assert {"".join(r.path) for r in K.static_cycles(edges, 4).collect()} == {"ab", "acd", "abcd"}
