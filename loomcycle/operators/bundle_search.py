@@ -8,43 +8,53 @@ parallel edges cost one array here; the enumeration in `cycles` costs a row for
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, functions as F
 
 from loomcycle.functions.sequences import cardinality, trim
-from loomcycle.operators.cycles import warn_if_open
+from loomcycle.operators.cycles import HOPS_A_CHECKPOINT, warn_if_open
 from loomcycle.operators.seeds import seed_subgraph
 from loomcycle.session import cut_lineage
 
 
 def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int | None = None) -> DataFrame:
-    """root, begin, end, path, bundle, choices (ascending choices of one time a hop), for combined seeds. A max_length that leaves paths open gives a warning."""
+    """root, begin, end, path, length, bundle (sorted distinct times of each hop), cardinality, for combined seeds.
+
+    Cardinality counts ascending choices of one edge a hop, parallel edges of one time apart. A max_length that
+    leaves paths open gives a warning.
+    """
     if max_length is not None and max_length < 2:
         raise ValueError("max_length is below 2")
     sub = seed_subgraph(seeds, edges.where(F.col("src") != F.col("dst")))
-    adjacency = cut_lineage(sub.groupBy("seed_id", "src", "dst").agg(F.sort_array(F.collect_set("t")).alias("ts")))
+    adjacency = cut_lineage(sub.groupBy("seed_id", "src", "dst").agg(F.sort_array(F.collect_list("t")).alias("ts")))
     step = adjacency.select(F.col("seed_id").alias("_seed"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("ts").alias("_ts"))
     keyed = seeds.select(F.concat_ws("|", "root", "begin").alias("seed_id"), "root", "begin", "end", "next_begin")
     starts = keyed.join(adjacency, "seed_id").where(F.col("src") == F.col("root"))
     first = F.filter("ts", lambda t: t < F.col("next_begin"))
-    paths = starts.select("seed_id", "root", "begin", "end", F.array("root").alias("path"), F.col("dst").alias("cur"), F.array(first).alias("bundle")).where(F.size(F.col("bundle")[0]) > 0)
-    found = None
-    for length in count(2):
-        met = paths.join(step, (F.col("seed_id") == F.col("_seed")) & (F.col("cur") == F.col("_src")))
-        closes = F.col("_dst") == F.col("root")
-        goes_on = ~F.array_contains("path", F.col("_dst"))
-        after = F.filter("_ts", lambda t: t > F.array_min(F.element_at("bundle", -1)))
-        if length == max_length:
-            warn_if_open(met.where(~closes & goes_on & (F.size(after) > 0)), max_length)
-        met = met.where(closes if length == max_length else closes | goes_on)
-        grown = met.select(
-            "seed_id", "root", "begin", "end", F.array_append("path", F.col("cur")).alias("path"), F.col("_dst").alias("cur"), F.array_append("bundle", after).alias("bundle"), closes.alias("closed")
-        ).where(F.size(F.element_at("bundle", -1)) > 0)
-        grown = cut_lineage(grown)
-        closed = grown.where("closed").select("root", "begin", "end", "path", trim(F.col("bundle")).alias("bundle"))
+    rows = starts.select("seed_id", "root", "begin", "end", F.array("root").alias("path"), F.col("dst").alias("cur"), F.array(first).alias("bundle"), F.lit(False).alias("closed")).where(F.size(F.col("bundle")[0]) > 0)
+    found, length = None, 1
+    while True:
+        for _ in range(HOPS_A_CHECKPOINT if max_length is None else min(HOPS_A_CHECKPOINT, max_length - length)):
+            length += 1
+            rows = _hop(rows, step, length == max_length)
+        rows = cut_lineage(rows)
+        closed = rows.where("closed").select("root", "begin", "end", "path", F.size("path").alias("length"), trim(F.col("bundle")).alias("bundle"))
         found = closed if found is None else found.unionByName(closed)
-        paths = grown.where("not closed").drop("closed")
-        if length == max_length or paths.isEmpty():
+        rows = rows.where("not closed")
+        if length == max_length or rows.isEmpty():
             break
-    return found.withColumn("choices", cardinality(F.col("bundle")))
+    return found.withColumn("cardinality", cardinality(F.col("bundle"))).withColumn("bundle", F.transform("bundle", F.array_distinct))
+
+
+def _hop(rows: DataFrame, step: DataFrame, last: bool) -> DataFrame:
+    """Open paths with one more hop; closed ones pass through the outer join."""
+    met = rows.join(step, ~F.col("closed") & (F.col("seed_id") == F.col("_seed")) & (F.col("cur") == F.col("_src")), "left").where("closed OR _src IS NOT NULL")
+    closes = F.col("_dst") == F.col("root")
+    after = F.filter("_ts", lambda t: t > F.array_min(F.element_at("bundle", -1)))
+    met = met.withColumn("_after", after).where(F.col("closed") | (F.size("_after") > 0))
+    goes_on = ~F.array_contains("path", F.col("_dst"))
+    if last:
+        warn_if_open(met.where(~F.col("closed") & ~closes & goes_on))
+    grow = lambda name, value: F.when(F.col("closed"), F.col(name)).otherwise(F.array_append(name, value)).alias(name)
+    return met.where(F.col("closed") | closes if last else F.col("closed") | closes | goes_on).select(
+        "seed_id", "root", "begin", "end", grow("path", F.col("cur")), F.coalesce("_dst", "cur").alias("cur"), grow("bundle", F.col("_after")), (F.col("closed") | closes).alias("closed")
+    )

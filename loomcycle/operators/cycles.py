@@ -9,12 +9,13 @@ lasts longer than the latest such time.
 from __future__ import annotations
 
 import warnings
-from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
 from loomcycle.session import cut_lineage
 
+HOPS_A_CHECKPOINT = 4
+
 
 def returning_edges(edges: DataFrame, omega: int) -> DataFrame:
     """Edges whose source has a later incoming edge within omega, with t_close, the latest such time.
@@ -38,35 +39,43 @@ def temporal_cycles(edges: DataFrame, omega: int, max_length: int | None = None,
         raise ValueError("max_length is below min_length")
     edges = cut_lineage(edges.select("src", "dst", "t", "edge_key").where(F.col("src") != F.col("dst")))
     step = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("t").alias("_t"), F.col("edge_key").alias("_key"), F.floor(F.col("t") / omega).alias("_b"))
-    paths = returning_edges(edges, omega).select(
-        F.col("src").alias("root"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "t_close", F.col("dst").alias("cur"), F.array("src").alias("path"), F.array("t").alias("times"), F.array("edge_key").alias("edge_keys")
+    rows = returning_edges(edges, omega).select(
+        F.col("src").alias("root"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "t_close", F.col("dst").alias("cur"), F.array("src").alias("path"), F.array("t").alias("times"), F.array("edge_key").alias("edge_keys"), F.lit(False).alias("closed")
     )
-    found = None
-    for length in count(2):
-        bucket = F.floor(F.col("t_end") / omega)
-        probe = paths.withColumn("_pb", F.explode(F.array(bucket, bucket + 1)))
-        met = probe.join(step, (F.col("cur") == F.col("_src")) & (F.col("_pb") == F.col("_b")) & (F.col("_t") > F.col("t_end")) & (F.col("_t") <= F.col("t_close")))
-        closes = F.col("_dst") == F.col("root")
-        goes_on = ~F.array_contains("path", F.col("_dst")) & (F.col("_t") < F.col("t_close"))
-        if length == max_length > min_length:
-            warn_if_open(met.where(~closes & goes_on), max_length)
-        met = met.where(closes | goes_on) if length != max_length else met.where(closes)
-        grown = met.select(
-            "root", "t_start", F.col("_t").alias("t_end"), "t_close", F.col("_dst").alias("cur"), F.array_append("path", F.col("cur")).alias("path"),
-            F.array_append("times", F.col("_t")).alias("times"), F.array_append("edge_keys", F.col("_key")).alias("edge_keys"), closes.alias("closed"),
-        )
-        grown = cut_lineage(grown)
-        if length >= min_length:
-            closed = grown.where("closed").select("root", "t_start", "t_end", F.size("path").alias("length"), "path", "times", "edge_keys")
-            found = closed if found is None else found.unionByName(closed)
-        paths = grown.where("not closed").drop("closed")
-        if found is not None and (length == max_length or paths.isEmpty()):
+    found, length = None, 1
+    while True:
+        for _ in range(HOPS_A_CHECKPOINT if max_length is None else min(HOPS_A_CHECKPOINT, max_length - length)):
+            length += 1
+            rows = _hop(rows, step, omega, length == max_length, warn=length == max_length > min_length)
+        rows = cut_lineage(rows)
+        closed = rows.where(F.col("closed") & (F.size("path") >= min_length)).select("root", "t_start", "t_end", F.size("path").alias("length"), "path", "times", "edge_keys")
+        found = closed if found is None else found.unionByName(closed)
+        rows = rows.where("not closed")
+        if length == max_length or rows.isEmpty():
             return found
 
 
-def warn_if_open(paths: DataFrame, max_length: int) -> None:
+def _hop(rows: DataFrame, step: DataFrame, omega: int, last: bool, warn: bool) -> DataFrame:
+    """Open paths with one more edge; closed ones pass through the outer join, so hops chain without a union."""
+    bucket = F.floor(F.col("t_end") / omega)
+    probe = rows.withColumn("_pb", F.explode(F.when(F.col("closed"), F.array(bucket)).otherwise(F.array(bucket, bucket + 1))))
+    meets = ~F.col("closed") & (F.col("cur") == F.col("_src")) & (F.col("_pb") == F.col("_b")) & (F.col("_t") > F.col("t_end")) & (F.col("_t") <= F.col("t_close"))
+    met = probe.join(step, meets, "left").where("closed OR _src IS NOT NULL")
+    closes = F.col("_dst") == F.col("root")
+    goes_on = ~F.array_contains("path", F.col("_dst")) & (F.col("_t") < F.col("t_close"))
+    if warn:
+        warn_if_open(met.where(~F.col("closed") & ~closes & goes_on))
+    met = met.where(F.col("closed") | closes if last else F.col("closed") | closes | goes_on)
+    grow = lambda name, value: F.when(F.col("closed"), F.col(name)).otherwise(F.array_append(name, value)).alias(name)
+    return met.select(
+        "root", "t_start", F.coalesce("_t", "t_end").alias("t_end"), "t_close", F.coalesce("_dst", "cur").alias("cur"),
+        grow("path", F.col("cur")), grow("times", F.col("_t")), grow("edge_keys", F.col("_key")), (F.col("closed") | closes).alias("closed"),
+    )
+
+
+def warn_if_open(paths: DataFrame) -> None:
     if not paths.isEmpty():
-        warnings.warn(f"paths are still open at max_length {max_length}: longer cycles may be missing", stacklevel=3)
+        warnings.warn("paths are still open at max_length: longer cycles may be missing", stacklevel=4)
 
 
 def temporal_digons(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def drop_self_loops(edges: DataFrame) -> DataFrame:
@@ -55,12 +55,11 @@ def vertex_dictionary(edges: DataFrame, start: int = 0) -> DataFrame:
 
     Ranks are found by range partitions: a count for each, then numbers within, so no task sees all vertices.
     """
+    from loomcycle.operators.overlap import ranked
+
     ends = edges.select("t", "edge_key", F.lit(0).alias("side"), F.col("src").alias("vertex")).union(edges.select("t", "edge_key", F.lit(1), "dst"))
     first = ends.groupBy("vertex").agg(F.min(F.struct("t", "edge_key", "side")).alias("at"))
-    ranged = first.repartitionByRange("at").sortWithinPartitions("at").withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("n", F.row_number().over(W.partitionBy("part").orderBy("at")))
-    before = inside.groupBy("part").agg(F.max("n").alias("size")).withColumn("offset", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(before, "part").select("vertex", (F.col("offset") + F.col("n") - 1 + start).cast("long").alias("vertex_id"))
+    return ranked(first, "at").select("vertex", (F.col("rank") - 1 + start).cast("long").alias("vertex_id"))
 
 
 def encode(edges: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -103,10 +103,10 @@ def value_counts(rows: DataFrame, column: str) -> DataFrame:
 
 def interpolate(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Fills null y linearly in x between the neighbours that have one; at the ends with the nearest."""
-    w = W.partitionBy(*by).orderBy(x)
     known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    r = rows.withColumn("_a", F.last(known, ignorenulls=True).over(back)).withColumn("_b", F.first(known, ignorenulls=True).over(ahead))
+    # both directions run as growing frames, a step a row; a frame that shrinks would be read again for each row
+    back, ahead = (W.partitionBy(*by).orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc(x), F.desc(x)))
+    r = rows.withColumn("_a", F.last(known, ignorenulls=True).over(back)).withColumn("_b", F.last(known, ignorenulls=True).over(ahead))
     line = F.col("_a.y") + (F.col("_b.y") - F.col("_a.y")) * (F.col(x) - F.col("_a.x")) / (F.col("_b.x") - F.col("_a.x"))
     return r.withColumn(y, F.coalesce(F.col(y), F.when(F.col("_b.x") > F.col("_a.x"), line), F.col("_a.y"), F.col("_b.y"))).drop("_a", "_b")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomcycle.session import cut_lineage
@@ -15,31 +17,51 @@ def reverse_reachability(edges: DataFrame, omega: int, max_hops: int | None = No
     """
     e = cut_lineage(edges.where("src <> dst").select("src", "dst", "t").distinct())
     step = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("t").alias("_t"), F.floor(F.col("t") / omega).alias("_b"))
-    best = e.select(F.col("dst").alias("v"), F.col("src").alias("x"), F.col("t").alias("tx"), F.col("t").alias("ta"))
-    fresh = best
-    hops = 0
-    while True:
+    known = e.select(F.col("dst").alias("v"), F.col("src").alias("x"), F.col("t").alias("tx"), F.col("t").alias("ta"), F.lit(1).alias("fresh"))
+    for hops in count():
         bucket = F.floor(F.col("ta") / omega)
-        probe = fresh.withColumn("_pb", F.explode(F.array(bucket, bucket + 1)))
+        probe = known.where("fresh = 1").withColumn("_pb", F.explode(F.array(bucket, bucket + 1)))
         met = probe.join(step, (F.col("v") == F.col("_s")) & (F.col("_pb") == F.col("_b")) & (F.col("_t") > F.col("ta")) & (F.col("_t") < F.col("tx") + omega) & (F.col("_d") != F.col("x")))
-        new = met.groupBy(F.col("_d").alias("v"), "x", "tx").agg(F.min("_t").alias("ta"))
-        old = best.select(F.col("v").alias("_v"), F.col("x").alias("_x"), F.col("tx").alias("_tx"), F.col("ta").alias("_ta"))
-        fresh = new.join(old, (F.col("v") == F.col("_v")) & (F.col("x") == F.col("_x")) & (F.col("tx") == F.col("_tx")), "left").where(F.col("_ta").isNull() | (F.col("ta") < F.col("_ta"))).select("v", "x", "tx", "ta")
-        fresh = cut_lineage(fresh)
-        if fresh.isEmpty():
-            return best
+        new = met.select(F.col("_d").alias("v"), "x", "tx", F.col("_t").alias("ta"), F.lit(1).alias("fresh"))
+        # of equal arrivals the known one wins, so what stays fresh is an improvement
+        first = known.withColumn("fresh", F.lit(0)).unionByName(new).groupBy("v", "x", "tx").agg(F.min(F.struct("ta", "fresh")).alias("m"))
+        known = cut_lineage(first.select("v", "x", "tx", "m.*"))
+        if known.where("fresh = 1").isEmpty():
+            return known.drop("fresh")
         if hops == max_hops:
             raise RuntimeError(f"paths are still open after {max_hops} hops")
-        hops += 1
-        best = cut_lineage(best.unionByName(fresh).groupBy("v", "x", "tx").agg(F.min("ta").alias("ta")))
 
 
 def return_walks(edges: DataFrame, omega: int, max_hops: int | None = None) -> DataFrame:
     """(root, begin, end) of every strict walk that leaves a root and returns within omega: no bound on its length, unless max_hops is given."""
-    reach = reverse_reachability(edges, omega, max_hops)
+    return _closed(reverse_reachability(edges, omega, max_hops), edges, omega).select("root", "begin", "end").distinct()
+
+
+def _closed(reach: DataFrame, edges: DataFrame, omega: int) -> DataFrame:
+    """root, begin, end, last: the walk leaves the root at begin, and an edge from last brings it back at end."""
     e = edges.where("src <> dst").select("src", "dst", "t").distinct()
     back = reach.join(e, (reach["v"] == e["src"]) & (reach["x"] == e["dst"]) & (e["t"] > reach["ta"]) & (e["t"] < reach["tx"] + omega))
-    return back.select(F.col("x").alias("root"), F.col("tx").alias("begin"), F.col("t").alias("end")).distinct()
+    return back.select(F.col("x").alias("root"), F.col("tx").alias("begin"), F.col("t").alias("end"), F.col("v").alias("last"))
+
+
+def reachability_seeds(edges: DataFrame, omega: int, max_hops: int | None = None) -> DataFrame:
+    """root, begin, end, candidates, without looking at any cycle: what the root reaches after leaving at begin and
+    what from there still reaches the closing edge's source before end; root and that source included.
+
+    A closed walk holds a simple cycle with the same first and last edge, so the intervals are just those of all
+    cycles; the candidates are all of their vertices, and at times more.
+    """
+    reach = reverse_reachability(edges, omega, max_hops)
+    closed = cut_lineage(_closed(reach, edges, omega).distinct())
+    onward = reach.select(F.col("v").alias("_v"), F.col("x").alias("c"), F.col("tx").alias("_tc"), F.col("ta").alias("_ta"), F.floor(F.col("tx") / omega).alias("_b"))
+    bucket = F.floor(F.col("begin") / omega)
+    near = closed.withColumn("_pb", F.explode(F.array(bucket, bucket + 1)))
+    still = near.join(onward, (F.col("last") == F.col("_v")) & (F.col("_pb") == F.col("_b")) & (F.col("_tc") > F.col("begin")) & (F.col("_ta") < F.col("end")) & (F.col("c") != F.col("root")))
+    latest = still.groupBy("root", "begin", "end", "c").agg(F.max("_tc").alias("leaves"))
+    reached = reach.select(F.col("x").alias("root"), F.col("tx").alias("begin"), F.col("v").alias("c"), "ta")
+    inner = latest.join(reached, ["root", "begin", "c"]).where("ta < leaves").select("root", "begin", "end", "c")
+    ends = closed.select("root", "begin", "end", F.explode(F.array("root", "last")).alias("c"))
+    return inner.unionByName(ends).groupBy("root", "begin", "end").agg(F.array_sort(F.collect_set("c")).alias("candidates"))
 
 
 def raw_seeds(cycles: DataFrame) -> DataFrame:
@@ -48,11 +70,6 @@ def raw_seeds(cycles: DataFrame) -> DataFrame:
     return found.groupBy("root", "begin", "end").agg(F.sort_array(F.collect_list("c")).alias("candidates"))
 
 
-def construct(root: F.Column, candidates: F.Column) -> F.Column:
-    """Candidates with the root, sorted."""
-    return F.array_sort(F.array_union(candidates, F.array(root)))
-
-
 def combined_seeds(seeds: DataFrame, omega: int) -> DataFrame:
     """root, begin, end, next_begin, candidates: greedy groups in the order (begin, end descending).
 

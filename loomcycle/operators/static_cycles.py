@@ -20,13 +20,18 @@ def static_cycles(edges: DataFrame, max_length: int, chordless: bool = False) ->
     paths = e.where("src < dst").join(back, F.col("src") == F.col("_r"), "left_semi").select(F.col("src").alias("root"), F.col("dst").alias("cur"), F.array("src").alias("path"))
     found = None
     for length in range(2, max_length + 1):
-        met = paths.join(step, F.col("cur") == F.col("_s")).where((F.col("_d") >= F.col("root")) & ((F.col("_d") == F.col("root")) | ((F.col("_d") != F.col("cur")) & ~F.array_contains("path", F.col("_d")))))
+        if length == max_length:  # nothing goes on, so the root is a key too
+            met = paths.join(step, (F.col("cur") == F.col("_s")) & (F.col("root") == F.col("_d")))
+        else:
+            met = paths.join(step, F.col("cur") == F.col("_s")).where((F.col("_d") >= F.col("root")) & ((F.col("_d") == F.col("root")) | ((F.col("_d") != F.col("cur")) & ~F.array_contains("path", F.col("_d")))))
         grown = met.select("root", F.col("_d").alias("cur"), F.array_append("path", F.col("cur")).alias("path"))
         if chordless and length > 2:
             grown = _without_chords(grown, e)
         grown = cut_lineage(grown)
         closed = grown.where("cur = root").select("path", F.size("path").alias("length"))
         found = closed if found is None else found.unionByName(closed)
+        if length == max_length:
+            break
         paths = grown.where("cur <> root")
         if chordless and length == 2:
             # a path over an edge that goes both ways can't be part of a longer chordless cycle

@@ -15,18 +15,28 @@ TOKENS = """token_edges AS (
   WHERE dst IS NOT NULL AND src <> dst)"""
 
 
-def cycles(edges: str, omega: int, length: int, name: str = "cycles") -> str:
+def cycles(edges: str, omega: int, name: str = "cycles") -> str:
     return f"""walk AS (
   SELECT src AS root, t AS t_start, t AS t_end, dst AS cur, [src] AS path, [t] AS times, [edge_key] AS keys, false AS closed FROM {edges}
   UNION ALL
   SELECT p.root, p.t_start, e.t, e.dst, list_append(p.path, p.cur), list_append(p.times, e.t), list_append(p.keys, e.edge_key), e.dst = p.root
   FROM walk p JOIN {edges} e ON e.src = p.cur AND e.t > p.t_end AND e.t < p.t_start + {omega}
-  WHERE NOT p.closed AND len(p.path) < {length} AND (e.dst = p.root OR NOT list_contains(list_append(p.path, p.cur), e.dst))
+  WHERE NOT p.closed AND (e.dst = p.root OR NOT list_contains(list_append(p.path, p.cur), e.dst))
 ), {name} AS (SELECT root, t_start, t_end, len(path) AS length, path, times, keys FROM walk WHERE closed)"""
 
 
-#: Greedy combination of seeds, row by row.
-SEEDS = """raw AS (SELECT root, t_start AS b, t_end AS e, list_sort(list_distinct(flatten(list(path)))) AS c FROM cycles GROUP BY 1, 2, 3),
+def reach(edges: str, omega: int) -> str:
+    return f"""reach AS (
+  SELECT dst AS v, src AS x, t AS tx, t AS ta FROM {edges}
+  UNION SELECT e.dst, r.x, r.tx, e.t FROM reach r JOIN {edges} e ON e.src = r.v AND e.t > r.ta AND e.t < r.tx + {omega} AND e.dst <> r.x)"""
+
+
+#: Seeds from reachability alone, then their greedy combination, row by row.
+SEEDS = """back AS (SELECT DISTINCT r.x AS root, r.tx AS b, e.t AS e, r.v AS last FROM reach r JOIN {edges} e ON e.src = r.v AND e.dst = r.x AND e.t > r.ta AND e.t < r.tx + {omega}),
+on_walk AS (SELECT root, b, e, root AS c FROM back UNION SELECT root, b, e, last FROM back
+            UNION SELECT k.root, k.b, k.e, o.x FROM back k JOIN reach o ON o.v = k.last AND o.tx > k.b AND o.ta < k.e AND o.x <> k.root
+                  JOIN reach i ON i.x = k.root AND i.tx = k.b AND i.v = o.x AND i.ta < o.tx),
+raw AS (SELECT root, b, e, list_sort(list(c)) AS c FROM on_walk GROUP BY 1, 2, 3),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY b, e DESC) AS n FROM raw),
 fold AS (
   SELECT root, n, b AS g, b, e FROM numbered WHERE n = 1
@@ -47,9 +57,12 @@ def with_(*parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
 
-def bundled(edges: str, omega: int, length: int) -> list[str]:
-    source = EVENTS if edges == "event_edges" else TOKENS
-    return [source, cycles(edges, omega, length), SEEDS.format(omega=omega), BUNDLES.format(edges=edges)]
+def seeded(edges: str, omega: int) -> list[str]:
+    return [EVENTS if edges == "event_edges" else TOKENS, reach(edges, omega), SEEDS.format(edges=edges, omega=omega)]
+
+
+def bundled(edges: str, omega: int) -> list[str]:
+    return [*seeded(edges, omega), cycles(edges, omega), BUNDLES.format(edges=edges)]
 
 
 DWELL = """arrivals AS (SELECT bundle, src AS sender, dst AS intermediate, t AS t_in, lead(t) OVER (PARTITION BY bundle, src, dst ORDER BY t) AS next_t FROM bundle_edges),

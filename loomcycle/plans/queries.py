@@ -11,14 +11,15 @@ from loomcycle.functions.times import micros_of
 from loomcycle.functions.sequences import after, before, bundle_text, cardinality, path_text, trim
 from loomcycle.operators import bundle_search as P, bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
 from loomcycle.plans import oracle as Q
-from loomcycle.streaming.windows import streaming_cycles
-from loomcycle.session import ensure_checkpoint_dir
+from loomcycle.session import cut_lineage, ensure_checkpoint_dir
+from loomcycle.streaming.windows import CycleStream, read_found
 from loomcycle.sources import files as I, sinks as W_
 from loomcycle.sources.derived import event_edges, table, token_edges
 
 DAY = Q.DAY
 MONTH = 30 * DAY
-LENGTH = 6
+HOUR = DAY // 24
+_SIX_HOURS = DAY // 4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,21 +36,22 @@ def register(sql: str | None):
 
 
 def _event_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return C.temporal_cycles(event_edges(spark, sf), DAY, LENGTH)
+    return C.temporal_cycles(event_edges(spark, sf), HOUR)
 
 
-def _token_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return C.temporal_cycles(token_edges(spark, sf), MONTH, LENGTH)
+def _event_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return S.combined_seeds(S.reachability_seeds(event_edges(spark, sf), HOUR), HOUR)
 
 
-def _bundles(cycles: DataFrame, omega: int) -> tuple[DataFrame, DataFrame]:
-    seeds = S.combined_seeds(S.raw_seeds(cycles), omega)
-    return seeds, B.bundles(B.assign(cycles, seeds))
+def _bundles(edges: DataFrame, omega: int) -> tuple[DataFrame, DataFrame]:
+    """Detection's main path: reachability gives seeds, whose subgraphs are searched by whole bundles."""
+    seeds = cut_lineage(S.combined_seeds(S.reachability_seeds(edges, omega), omega))
+    return seeds, P.bundled_cycles(edges, seeds)
 
 
 def _token_bundle_edges(spark: SparkSession, sf: str) -> DataFrame:
-    _, found = _bundles(_token_cycles(spark, sf), MONTH)
-    return B.to_edges(found, token_edges(spark, sf))
+    edges = token_edges(spark, sf)
+    return B.to_edges(_bundles(edges, MONTH)[1], edges)
 
 
 def _numbered(bundle_edges: DataFrame) -> DataFrame:
@@ -60,18 +62,28 @@ def _numbered(bundle_edges: DataFrame) -> DataFrame:
 
 # --- detection -------------------------------------------------------------------------------------------------
 
-_EVENT = [Q.EVENTS, Q.cycles("event_edges", DAY, LENGTH)]
-_TOKEN = [Q.TOKENS, Q.cycles("token_edges", MONTH, LENGTH)]
+_EVENT = [Q.EVENTS, Q.cycles("event_edges", HOUR)]
+_SEEDS = Q.seeded("event_edges", HOUR)
+_CYCLE_TEXT = "SELECT root, t_start, t_end, length, array_to_string(path, '>') AS path, array_to_string(times, '>') AS times, array_to_string(keys, '>') AS edge_keys FROM cycles"
+
+
+def _cycle_text(found: DataFrame) -> DataFrame:
+    return found.select("root", "t_start", "t_end", "length", *[path_text(F.col(c)).alias(c) for c in ("path", "times", "edge_keys")])
+
+
+@register(Q.with_(*_EVENT) + _CYCLE_TEXT)
+def cycles_event_1h(spark, sf):
+    return _cycle_text(_event_cycles(spark, sf))
 
 
-@register(Q.with_(*_EVENT) + "SELECT root, t_start, t_end, length, array_to_string(path, '>') AS path, array_to_string(times, '>') AS times, array_to_string(keys, '>') AS edge_keys FROM cycles")
-def cycles_event_1d(spark, sf):
-    return _event_cycles(spark, sf).select("root", "t_start", "t_end", "length", *[path_text(F.col(c)).alias(c) for c in ("path", "times", "edge_keys")])
+@register(Q.with_(Q.EVENTS, Q.cycles("event_edges", _SIX_HOURS)) + _CYCLE_TEXT)
+def cycles_event_6h(spark, sf):
+    return _cycle_text(C.temporal_cycles(event_edges(spark, sf), _SIX_HOURS))
 
 
-@register(Q.with_(*_TOKEN) + "SELECT root, t_start, t_end, length, array_to_string(path, '>') AS path, array_to_string(times, '>') AS times, array_to_string(keys, '>') AS edge_keys FROM cycles")
+@register(Q.with_(Q.TOKENS, Q.cycles("token_edges", MONTH)) + _CYCLE_TEXT)
 def cycles_token_30d(spark, sf):
-    return _token_cycles(spark, sf).select("root", "t_start", "t_end", "length", *[path_text(F.col(c)).alias(c) for c in ("path", "times", "edge_keys")])
+    return _cycle_text(C.temporal_cycles(token_edges(spark, sf), MONTH))
 
 
 @register(Q.with_(*_EVENT) + "SELECT length, count(*) AS cycles, count(DISTINCT root) AS roots FROM cycles GROUP BY 1")
@@ -100,56 +112,52 @@ def triangles_chordless(spark, sf):
     return C.temporal_triangles(event_edges(spark, sf), DAY)
 
 
-@register(Q.with_(*_EVENT) + "SELECT root, t_start AS begin, t_end AS \"end\", array_to_string(list_sort(list_distinct(flatten(list(path)))), ',') AS candidates FROM cycles GROUP BY 1, 2, 3")
+@register(Q.with_(*_SEEDS) + "SELECT root, b AS begin, e AS \"end\", array_to_string(c, ',') AS candidates FROM raw")
 def seeds_raw(spark, sf):
-    return S.raw_seeds(_event_cycles(spark, sf)).withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
+    return S.reachability_seeds(event_edges(spark, sf), HOUR).withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
 
 
-@register(Q.with_(*_EVENT, Q.SEEDS.format(omega=DAY)) + "SELECT root, s_begin AS begin, s_end AS \"end\", next_begin, array_to_string(candidates, ',') AS candidates FROM seeds")
+@register(Q.with_(*_SEEDS) + "SELECT root, s_begin AS begin, s_end AS \"end\", next_begin, array_to_string(candidates, ',') AS candidates FROM seeds")
 def seeds_combined(spark, sf):
-    return S.combined_seeds(S.raw_seeds(_event_cycles(spark, sf)), DAY).withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
+    return _event_seeds(spark, sf).withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
 
 
-@register(Q.with_(*_EVENT, Q.SEEDS.format(omega=DAY)) + "SELECT root, count(*) AS seeds, round(avg((s_end - s_begin) / 1e6), 3) AS mean_duration, max((s_end - s_begin) / 1e6) AS max_duration FROM seeds GROUP BY 1")
+@register(Q.with_(*_SEEDS) + "SELECT root, count(*) AS seeds, round(avg((s_end - s_begin) / 1e6), 3) AS mean_duration, max((s_end - s_begin) / 1e6) AS max_duration FROM seeds GROUP BY 1")
 def seed_statistics(spark, sf):
-    return X.seed_statistics(S.combined_seeds(S.raw_seeds(_event_cycles(spark, sf)), DAY)).withColumn("mean_duration", F.round("mean_duration", 3))
+    return X.seed_statistics(_event_seeds(spark, sf)).withColumn("mean_duration", F.round("mean_duration", 3))
 
 
 _LAST = "(SELECT max(t) FROM event_edges)"
 
 
-@register(Q.with_(*_EVENT, Q.SEEDS.format(omega=DAY)) + f"SELECT root, s_begin AS begin, s_end AS \"end\" FROM seeds WHERE s_end <= {_LAST} - {10 * DAY}")
+@register(Q.with_(*_SEEDS) + f"SELECT root, s_begin AS begin, s_end AS \"end\" FROM seeds WHERE s_end <= {_LAST} - {10 * DAY}")
 def seeds_primed(spark, sf):
     edges = event_edges(spark, sf)
-    now = edges.agg(F.max("t")).first()[0] - 9 * DAY
-    return S.primed(S.combined_seeds(S.raw_seeds(_event_cycles(spark, sf)), DAY), now, DAY).select("root", "begin", "end")
+    now = edges.agg(F.max("t")).first()[0] - 10 * DAY + HOUR
+    return S.primed(_event_seeds(spark, sf), now, HOUR).select("root", "begin", "end")
 
 
-@register(Q.with_(*_EVENT, Q.SEEDS.format(omega=DAY)) + """SELECT root, begin, "end" FROM (SELECT root, b AS begin, e AS "end", row_number() OVER (PARTITION BY root ORDER BY b, e DESC) AS n FROM raw) WHERE n = 1""")
+@register(Q.with_(*_SEEDS) + """SELECT root, begin, "end" FROM (SELECT root, b AS begin, e AS "end", row_number() OVER (PARTITION BY root ORDER BY b, e DESC) AS n FROM raw) WHERE n = 1""")
 def first_interval_per_root(spark, sf):
-    return O.first_per_group(S.raw_seeds(_event_cycles(spark, sf)), ["root"]).select("root", "begin", "end")
+    return O.first_per_group(S.reachability_seeds(event_edges(spark, sf), HOUR), ["root"]).select("root", "begin", "end")
 
 
 _WEEK_IN = f"(SELECT min(t) + {3 * DAY} FROM event_edges)"
 
 
-@register(Q.with_(*_EVENT, Q.SEEDS.format(omega=DAY)) + f"""SELECT root, s_begin AS begin, s_end AS "end" FROM seeds WHERE s_begin >= {_WEEK_IN} AND s_end <= {_WEEK_IN} + {7 * DAY}""")
+@register(Q.with_(*_SEEDS) + f"""SELECT root, s_begin AS begin, s_end AS "end" FROM seeds WHERE s_begin >= {_WEEK_IN} AND s_end <= {_WEEK_IN} + {7 * DAY}""")
 def seeds_enveloped(spark, sf):
     edges = event_edges(spark, sf)
     lo = edges.agg(F.min("t")).first()[0] + 3 * DAY
-    return S.enveloped(S.combined_seeds(S.raw_seeds(_event_cycles(spark, sf)), DAY), lo, lo + 7 * DAY).select("root", "begin", "end")
+    return S.enveloped(_event_seeds(spark, sf), lo, lo + 7 * DAY).select("root", "begin", "end")
 
 
-@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH)) + "SELECT DISTINCT concat_ws('|', root, s_begin, array_to_string(path, '>')) AS bundle, root, array_to_string(path, '>') AS path FROM assigned")
+@register(Q.with_(*Q.bundled("token_edges", MONTH)) + "SELECT DISTINCT concat_ws('|', root, s_begin, array_to_string(path, '>')) AS bundle, root, array_to_string(path, '>') AS path FROM assigned")
 def path_bundles(spark, sf):
-    _, found = _bundles(_token_cycles(spark, sf), MONTH)
-    return B.path_bundle(B.to_edges(found, token_edges(spark, sf))).select("bundle", "root", path_text(F.col("path")).alias("path"))
+    return B.path_bundle(_token_bundle_edges(spark, sf)).select("bundle", "root", path_text(F.col("path")).alias("path"))
 
 
-_SIX_HOURS = DAY // 4
-_REACH = f"""reach AS (
-  SELECT dst AS v, src AS x, t AS tx, t AS ta FROM event_edges
-  UNION SELECT e.dst, r.x, r.tx, e.t FROM reach r JOIN event_edges e ON e.src = r.v AND e.t > r.ta AND e.t < r.tx + {_SIX_HOURS} AND e.dst <> r.x)"""
+_REACH = Q.reach("event_edges", _SIX_HOURS)
 
 
 @register(Q.with_(Q.EVENTS, _REACH) + "SELECT v, x, tx, min(ta) AS ta FROM reach GROUP BY 1, 2, 3")
@@ -158,22 +166,12 @@ def reverse_reachability(spark, sf):
 
 
 @register(Q.with_(Q.EVENTS, f"""s AS (SELECT dst AS v, src AS x, t FROM event_edges),
-m AS (SELECT v, x, t FROM s UNION SELECT e.dst, s.x, s.t FROM s JOIN event_edges e ON e.src = s.v AND e.t % 7 = 0),
+m AS (SELECT v, x, t FROM s UNION SELECT e.dst, s.x, s.t FROM s JOIN event_edges e ON e.src = s.v),
 c AS (SELECT * FROM m WHERE v <> x AND t > (SELECT min(t) FROM event_edges) + {DAY})""") + "SELECT v, count(*) AS points, count(DISTINCT x) AS vertices, count(DISTINCT t) AS times FROM c GROUP BY 1")
 def summary_sizes(spark, sf):
     edges = event_edges(spark, sf)
-    return _summary_sizes(edges, edges.where("t % 7 = 0"))
-
-
-@register(None)
-def summary_sizes_all(spark, sf):
-    edges = event_edges(spark, sf)
-    return _summary_sizes(edges, edges)
-
-
-def _summary_sizes(edges: DataFrame, over: DataFrame) -> DataFrame:
     points = edges.select(F.col("dst").alias("v"), F.col("src").alias("x"), "t")
-    into = over.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    into = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     first = edges.agg(F.min("t")).first()[0]
     return R.sizes(R.cut(R.exclude(R.merge(points, points, into)), first + DAY))
 
@@ -183,10 +181,10 @@ def return_walks(spark, sf):
     return S.return_walks(event_edges(spark, sf), _SIX_HOURS)
 
 
-@register(Q.with_(*_EVENT, Q.SEEDS.format(omega=DAY)) + """SELECT s.root AS seed_root, s.s_begin AS begin, count(*) AS edges, CAST(sum(e.t - s.s_begin) AS BIGINT) AS offset_sum
+@register(Q.with_(*_SEEDS) + """SELECT s.root AS seed_root, s.s_begin AS begin, count(*) AS edges, CAST(sum(e.t - s.s_begin) AS BIGINT) AS offset_sum
 FROM seeds s JOIN event_edges e ON e.t BETWEEN s.s_begin AND s.s_end AND list_contains(s.candidates, e.src) AND list_contains(s.candidates, e.dst) GROUP BY 1, 2""")
 def seed_subgraphs(spark, sf):
-    found = S.seed_subgraph(S.combined_seeds(S.raw_seeds(_event_cycles(spark, sf)), DAY), event_edges(spark, sf))
+    found = S.seed_subgraph(_event_seeds(spark, sf), event_edges(spark, sf))
     return found.groupBy("seed_root", "begin").agg(F.count("*").alias("edges"), F.sum(F.col("t") - F.col("begin")).alias("offset_sum"))
 
 
@@ -198,57 +196,64 @@ SELECT s.root, s.s_begin AS begin, s.s_end AS "end", array_to_string(s.path, '>'
 FROM shape s JOIN assigned a ON a.root = s.root AND a.s_begin = s.s_begin AND a.path = s.path GROUP BY ALL"""
 
 
-@register(Q.with_(*Q.bundled("event_edges", DAY, LENGTH)) + _BUNDLE_ROWS)
+@register(Q.with_(*Q.bundled("event_edges", HOUR)) + _BUNDLE_ROWS)
 def bundle_cardinality(spark, sf):
-    _, found = _bundles(_event_cycles(spark, sf), DAY)
+    _, found = _bundles(event_edges(spark, sf), HOUR)
+    return found.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "cardinality")
+
+
+@register(Q.with_(*Q.bundled("token_edges", MONTH)) + _BUNDLE_ROWS)
+def bundles_token_30d(spark, sf):
+    """Order dates repeat, so parallel edges of one time count apart."""
+    _, found = _bundles(token_edges(spark, sf), MONTH)
     return found.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "cardinality")
 
 
-@register(Q.with_(*Q.bundled("event_edges", DAY, LENGTH)) + _BUNDLE_ROWS.replace("AS cardinality", "AS choices"))
-def bundle_search(spark, sf):
-    """The same bundles grown as arrays within each seed's subgraph."""
+@register(Q.with_(*Q.bundled("event_edges", HOUR)) + _BUNDLE_ROWS)
+def bundles_enumerated(spark, sf):
+    """The same bundles grouped from single cycles."""
     edges = event_edges(spark, sf)
-    seeds = S.combined_seeds(S.raw_seeds(C.temporal_cycles(edges, DAY, LENGTH)), DAY)
-    found = P.bundled_cycles(edges, seeds, LENGTH)
-    return found.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "choices")
+    found = C.temporal_cycles(edges, HOUR)
+    grouped = B.bundles(B.assign(found, S.combined_seeds(S.raw_seeds(found), HOUR)))
+    return grouped.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "cardinality")
 
 
-@register(Q.with_(*Q.bundled("event_edges", DAY, LENGTH)) + "SELECT root, s_begin AS begin, array_to_string(path, '>') AS path, count(*) AS choices FROM assigned GROUP BY ALL")
+@register(Q.with_(*Q.bundled("event_edges", HOUR)) + "SELECT root, s_begin AS begin, array_to_string(path, '>') AS path, count(*) AS choices FROM assigned GROUP BY ALL")
 def bundle_choices(spark, sf):
     """Cardinality by the fold over hop times (event times are distinct, so it equals the enumerated count)."""
-    _, found = _bundles(_event_cycles(spark, sf), DAY)
+    _, found = _bundles(event_edges(spark, sf), HOUR)
     return found.select("root", "begin", path_text(F.col("path")).alias("path"), cardinality(trim(F.col("bundle"))).alias("choices"))
 
 
-@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH)) + "SELECT bundle, src, dst, t, edge_key, token_id, price_usd FROM bundle_edges")
+@register(Q.with_(*Q.bundled("token_edges", MONTH)) + "SELECT bundle, src, dst, t, edge_key, token_id, price_usd FROM bundle_edges")
 def bundle_edges(spark, sf):
     return _token_bundle_edges(spark, sf).select("bundle", "src", "dst", "t", "edge_key", "token_id", "price_usd")
 
 
-@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH)) + """SELECT bundle, count(*) AS edges, count(DISTINCT src) AS nodes, min(t) AS begin, max(t) AS "end", (max(t) - min(t)) / 1e6 AS duration,
+@register(Q.with_(*Q.bundled("token_edges", MONTH)) + """SELECT bundle, count(*) AS edges, count(DISTINCT src) AS nodes, min(t) AS begin, max(t) AS "end", (max(t) - min(t)) / 1e6 AS duration,
 CASE WHEN max(t) > min(t) THEN count(*) / count(DISTINCT src) / ((max(t) - min(t)) / 1e6) END AS rate FROM bundle_edges GROUP BY 1""")
 def cycle_measures(spark, sf):
     return M.graph_counts(_token_bundle_edges(spark, sf))
 
 
-@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH), Q.DWELL) + "SELECT * FROM dwell")
+@register(Q.with_(*Q.bundled("token_edges", MONTH), Q.DWELL) + "SELECT * FROM dwell")
 def dwell_min(spark, sf):
     return M.aggregate_dwell(M.dwell_times(_token_bundle_edges(spark, sf)))
 
 
-@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH), Q.DWELL) + """SELECT bundle, round(avg(dwell), 3) AS avg_dwell,
+@register(Q.with_(*Q.bundled("token_edges", MONTH), Q.DWELL) + """SELECT bundle, round(avg(dwell), 3) AS avg_dwell,
 round(CASE WHEN stddev_pop(dwell) = avg(dwell) THEN 0 ELSE (stddev_pop(dwell) - avg(dwell)) / (stddev_pop(dwell) + avg(dwell)) END, 6) AS burstiness FROM dwell GROUP BY 1""")
 def burstiness(spark, sf):
     return M.dwell_statistics(_token_bundle_edges(spark, sf)).select("bundle", F.round("avg_dwell", 3).alias("avg_dwell"), F.round("burstiness", 6).alias("burstiness"))
 
 
-@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH), """tokens AS (SELECT bundle, token_id, count(*) AS n, arg_max(price_usd, (t, price_usd)) - arg_min(price_usd, (t, price_usd)) AS delta FROM bundle_edges GROUP BY 1, 2)""")
+@register(Q.with_(*Q.bundled("token_edges", MONTH), """tokens AS (SELECT bundle, token_id, count(*) AS n, arg_max(price_usd, (t, price_usd)) - arg_min(price_usd, (t, price_usd)) AS delta FROM bundle_edges GROUP BY 1, 2)""")
           + "SELECT bundle, round(sum(delta) FILTER (WHERE n > 1) / count(*), 4) AS price_delta FROM tokens GROUP BY 1")
 def price_delta(spark, sf):
     return M.price_delta(_token_bundle_edges(spark, sf)).select("bundle", F.round("price_delta", 4).alias("price_delta"))
 
 
-_PAIRED = [*Q.bundled("token_edges", MONTH, LENGTH), Q.SPANS]
+_PAIRED = [*Q.bundled("token_edges", MONTH), Q.SPANS]
 
 
 @register(Q.with_(*_PAIRED, Q.PAIRS.format(slack=MONTH)) + "SELECT i, j FROM pairs")
@@ -276,40 +281,6 @@ def boundary_table(spark, sf):
     return O.boundary_table(_numbered(_token_bundle_edges(spark, sf)), 10).withColumn("mean_key", F.round(F.col("mean_key") / 1e6, 3))
 
 
-# --- without a bound on length: no SQL, tests compare the operators with brute force -----------------------------
-
-
-@register(None)
-def cycles_event_6h_all(spark, sf):
-    found = C.temporal_cycles(event_edges(spark, sf), _SIX_HOURS)
-    return found.select("root", "t_start", "t_end", "length", *[path_text(F.col(c)).alias(c) for c in ("path", "times", "edge_keys")])
-
-
-@register(None)
-def cycles_token_30d_all(spark, sf):
-    found = C.temporal_cycles(token_edges(spark, sf), MONTH)
-    return found.select("root", "t_start", "t_end", "length", *[path_text(F.col(c)).alias(c) for c in ("path", "times", "edge_keys")])
-
-
-@register(None)
-def seeds_token_30d_all(spark, sf):
-    found = S.combined_seeds(S.raw_seeds(C.temporal_cycles(token_edges(spark, sf), MONTH)), MONTH)
-    return found.withColumn("candidates", F.array_join(F.col("candidates").cast("array<string>"), ","))
-
-
-@register(None)
-def bundles_token_30d_all(spark, sf):
-    _, found = _bundles(C.temporal_cycles(token_edges(spark, sf), MONTH), MONTH)
-    return found.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "cardinality")
-
-
-@register(None)
-def cycle_measures_all(spark, sf):
-    edges = token_edges(spark, sf)
-    _, found = _bundles(C.temporal_cycles(edges, MONTH), MONTH)
-    return M.graph_counts(B.to_edges(found, edges))
-
-
 # --- edges -----------------------------------------------------------------------------------------------------
 
 
@@ -528,35 +499,27 @@ def static_chordless_cycles(spark, sf):
     return K.static_cycles(event_edges(spark, sf), 3, chordless=True).withColumn("path", path_text(F.col("path")))
 
 
-@register(Q.with_(Q.EVENTS, "s AS (SELECT DISTINCT src, dst FROM event_edges WHERE t < (SELECT min(t) FROM event_edges) + " + str(DAY) + ")",
-                  "r AS (SELECT src AS a, src AS b FROM s UNION SELECT dst, dst FROM s UNION SELECT r.a, s.dst FROM r JOIN s ON s.src = r.b)")
+@register(Q.with_(Q.EVENTS, "s AS (SELECT DISTINCT src, dst FROM event_edges)", "r AS (SELECT src AS a, src AS b FROM s UNION SELECT dst, dst FROM s UNION SELECT r.a, s.dst FROM r JOIN s ON s.src = r.b)")
           + "SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY 1")
 def strong_components(spark, sf):
-    edges = event_edges(spark, sf)
-    first = edges.agg(F.min("t")).first()[0]
-    return O.strongly_connected_components(edges.where(F.col("t") < first + DAY))
-
-
-@register(None)
-def strong_components_all(spark, sf):
     return O.strongly_connected_components(event_edges(spark, sf))
 
 
 # --- sources, sinks, streams -------------------------------------------------------------------------------------
 
 
-@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH)) + """SELECT bundle, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, t, CAST(edge_key AS VARCHAR) AS edge_key, CAST(token_id AS VARCHAR) AS token_id, price_usd FROM bundle_edges""")
+@register(Q.with_(*Q.bundled("token_edges", MONTH)) + """SELECT bundle, CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, t, CAST(edge_key AS VARCHAR) AS edge_key, CAST(token_id AS VARCHAR) AS token_id, price_usd FROM bundle_edges""")
 def graph_json_round_trip(spark, sf):
     rows = W_.graph_json(_token_bundle_edges(spark, sf))
     decoded = rows.withColumn("graph", I.decode_graph(F.col("graph")))
     return I.graph_edges(decoded, keep=["bundle"]).select("bundle", "src", "dst", "t", "edge_key", "token_id", "price_usd")
 
 
-@register(Q.with_(*Q.bundled("token_edges", MONTH, LENGTH)) + """SELECT DISTINCT concat_ws('|', a.root, a.s_begin, array_to_string(a.path, '>')) AS bundle, s.s_begin / 1e6 AS seed_begin, s.s_end / 1e6 AS seed_end, s.next_begin / 1e6 AS next_seed_begin,
+@register(Q.with_(*Q.bundled("token_edges", MONTH)) + """SELECT DISTINCT concat_ws('|', a.root, a.s_begin, array_to_string(a.path, '>')) AS bundle, s.s_begin / 1e6 AS seed_begin, s.s_end / 1e6 AS seed_end, s.next_begin / 1e6 AS next_seed_begin,
 '["' || array_to_string(s.candidates, '","') || '"]' AS candidates FROM assigned a JOIN seeds s ON s.root = a.root AND s.s_begin = a.s_begin""")
 def cycle_table(spark, sf):
     edges = token_edges(spark, sf)
-    seeds, found = _bundles(C.temporal_cycles(edges, MONTH, LENGTH), MONTH)
+    seeds, found = _bundles(edges, MONTH)
     return W_.cycle_table(found, seeds, B.to_edges(found, edges)).drop("graph")
 
 
@@ -575,17 +538,8 @@ def trade_filter(spark, sf):
     return E.from_transactions(E.clean_trades(rows))
 
 
-@register(Q.with_(Q.EVENTS, Q.cycles("event_edges", _SIX_HOURS, 4)) + "SELECT root, t_start, t_end, length, array_to_string(path, '>') AS path, array_to_string(times, '>') AS times FROM cycles")
+@register(Q.with_(Q.EVENTS, Q.cycles("event_edges", _SIX_HOURS)) + "SELECT root, t_start, t_end, length, array_to_string(path, '>') AS path, array_to_string(times, '>') AS times FROM cycles")
 def streaming_cycles_6h(spark, sf):
-    return _streamed(spark, sf, 4)
-
-
-@register(None)
-def streaming_cycles_6h_all(spark, sf):
-    return _streamed(spark, sf, None)
-
-
-def _streamed(spark: SparkSession, sf: str, max_length: int | None) -> DataFrame:
     """Edges from files that are there already; a last edge far beyond the end flushes the open windows."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
@@ -593,8 +547,6 @@ def _streamed(spark: SparkSession, sf: str, max_length: int | None) -> DataFrame
     edges.write.parquet(f"{folder}/in")
     edges.agg(F.lit(0).cast("long").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit(-1).cast("long").alias("edge_key"), F.timestamp_micros(F.unix_micros(F.max("ts")) + 9 * _SIX_HOURS).alias("ts")).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(edges.schema).parquet(f"{folder}/in")
-    found = streaming_cycles(stream, _SIX_HOURS, max_length)
-    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = spark.read.schema(found.schema).parquet(f"{folder}/out")
+    CycleStream(_SIX_HOURS, f"{folder}/found").start(stream, availableNow=True).awaitTermination()
+    rows = read_found(spark, f"{folder}/found")
     return rows.select("root", "t_start", "t_end", "length", path_text(F.col("path")).alias("path"), path_text(F.col("times")).alias("times"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
+DAY = 86_400_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -15,10 +18,17 @@ def micros(column: str) -> F.Column:
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, t, edge_key: consecutive users of one event type."""
-    w = W.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id")
-    return e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), F.lead(micros("ts")).over(w).alias("t"), F.lead("event_id").over(w).alias("edge_key")).where("dst IS NOT NULL AND src <> dst")
+    """src, dst, t, edge_key: consecutive users of one event type.
+
+    An event type has a large share of all events, so the order is taken within its days; a day's last event is
+    followed by the first of the next day that has one, from a table of one row a day.
+    """
+    e = table(spark, sf_dir, "events").select("event_type", F.floor(micros("ts") / DAY).alias("day"), F.struct("ts", "event_id").alias("at"), F.struct(F.col("user_id").alias("dst"), micros("ts").alias("t"), F.col("event_id").alias("edge_key")).alias("x"))
+    day = W.partitionBy("event_type", "day").orderBy("at")
+    firsts = e.groupBy("event_type", "day").agg(F.min_by("x", "at").alias("x"))
+    tomorrow = firsts.select("event_type", "day", F.lead("x").over(W.partitionBy("event_type").orderBy("day")).alias("tomorrow"))
+    follow = e.select("event_type", "day", F.col("x.dst").alias("src"), F.lead("x").over(day).alias("follow")).join(tomorrow, ["event_type", "day"])
+    return follow.select("src", F.coalesce("follow", "tomorrow").alias("x")).where("x IS NOT NULL").select("src", "x.*").where("dst IS NOT NULL AND src <> dst")
 
 
 def token_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

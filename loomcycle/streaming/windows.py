@@ -1,9 +1,7 @@
-"""Cycles from a stream of edges: windows of 2 omega every omega, each searched alone.
+"""Cycles from a stream of edges, and the depth-first search of one small window.
 
-A cycle that starts at t1 lies within [k omega, (k + 2) omega) for k = floor(t1 / omega), so the window that
-begins there has all of it; keeping cycles that start in a window's first half gives each once. Windows come
-out when the watermark passes their end, so state is at most about two windows of edges; the last open windows
-need a later edge, or a batch run over the tail.
+A cycle that starts at t1 lies within [k omega, (k + 2) omega) for k = floor(t1 / omega), so once no edge before
+(k + 2) omega can come any more, all cycles that start in window k are found from windows k and k + 1.
 """
 
 from __future__ import annotations
@@ -12,10 +10,11 @@ import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from loomcycle.operators.cycles import temporal_cycles
+
 SCHEMA = "root long, t_start long, t_end long, length int, path array<long>, times array<long>, edge_keys array<long>"
 
 
@@ -51,20 +50,58 @@ def window_cycles(edges: list[tuple[int, int, int, int]], omega: int, first_half
                     stack.append(((*path, cur), (*times, t), (*keys, key), nxt))
 
 
-def streaming_cycles(edges: DataFrame, omega: int, max_length: int | None = None, time_col: str = "ts") -> DataFrame:
-    """edges: src, dst, edge_key and an event time. Late edges beyond 2 omega are dropped."""
-    width, slide = f"{2 * omega} microseconds", f"{omega} microseconds"
-    timed = edges.withWatermark(time_col, width)
-    edge = F.struct("src", "dst", F.unix_micros(time_col).alias("t"), "edge_key")
-    windows = timed.groupBy(F.window(time_col, width, slide)).agg(F.collect_list(edge).alias("edges"))
-    rows = windows.select(F.unix_micros("window.start").alias("start"), "edges")
+class CycleStream:
+    """Writes the cycles of a stream of edges (src, dst, edge_key, an event time) to a Parquet table, once each.
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [c for start, edges in zip(frame["start"], frame["edges"]) for c in window_cycles([(e["src"], e["dst"], e["t"], e["edge_key"]) for e in edges], omega, start + omega, max_length)]
-            yield pd.DataFrame(found, columns=["root", "t_start", "t_end", "length", "path", "times", "edge_keys"])
+    A batch adds its edges to a table by window number floor(t / omega). The watermark is the latest time seen less
+    2 omega; a window k is closed when it passes (k + 2) omega, and the batch that passes it runs the batch search
+    (joins over all executors) over the closed windows and the one after, keeping cycles that start in a closed one.
+    Edges behind the watermark of the batches before are late and dropped; nulls in src, dst or time too.
+    The last windows need a later edge, or a batch run. Every write names its batch and overwrites, so a batch that
+    is run again after a failure changes nothing.
+    """
 
-    return rows.mapInPandas(search, SCHEMA)
+    def __init__(self, omega: int, folder: str, max_length: int | None = None, time_col: str = "ts"):
+        self.omega, self.folder, self.max_length, self.time_col = omega, folder, max_length, time_col
+
+    def start(self, edges: DataFrame, **trigger):
+        timed = edges.select("src", "dst", "edge_key", F.unix_micros(F.col(self.time_col).cast("timestamp")).alias("t"))
+        return timed.writeStream.foreachBatch(self.batch).option("checkpointLocation", f"{self.folder}/state").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+    def _mark(self, spark, batch_id: int) -> int | None:
+        """The latest time that the batches before this one saw."""
+        return spark.read.schema("mark long, batch long").parquet(f"{self.folder}/marks").where(F.col("batch") < batch_id).agg(F.max("mark")).first()[0] if batch_id else None
+
+    def batch(self, edges: DataFrame, batch_id: int) -> None:
+        spark, omega = edges.sparkSession, self.omega
+        seen = self._mark(spark, batch_id)
+        fresh = edges.where("src IS NOT NULL AND dst IS NOT NULL AND t IS NOT NULL")
+        if seen is not None:
+            fresh = fresh.where(F.col("t") >= seen - 2 * omega)
+        fresh.withColumn("k", F.floor(F.col("t") / omega)).write.mode("overwrite").partitionBy("k").parquet(f"{self.folder}/edges/batch={batch_id}")
+        table = spark.read.schema("src long, dst long, edge_key long, t long, batch long, k long").parquet(f"{self.folder}/edges").where(F.col("batch") <= batch_id)
+        latest = table.where(F.col("batch") == batch_id).agg(F.max("t")).first()[0]
+        mark = max((m for m in (seen, latest) if m is not None), default=None)
+        spark.createDataFrame([(mark,)], "mark long").write.mode("overwrite").parquet(f"{self.folder}/marks/batch={batch_id}")
+        closed = lambda m: None if m is None else (m - 2 * omega) // omega - 1  # noqa: E731 the first window that is still open
+        lo, hi = closed(seen), closed(mark)
+        if hi is None or lo == hi:
+            return
+        due = table.where(F.col("k") <= hi)
+        if lo is not None:
+            due = due.where(F.col("k") >= lo)
+        found = temporal_cycles(due, omega, self.max_length).where(F.col("t_start") < hi * omega)
+        if lo is not None:
+            found = found.where(F.col("t_start") >= lo * omega)
+        found.write.mode("overwrite").parquet(f"{self.folder}/found/batch={batch_id}")
+
+
+def read_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The cycles that a stream has written so far; none, if it has closed no window yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/found")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], SCHEMA)
+    return spark.read.parquet(f"{folder}/found").drop("batch")
 
 
 class ProgressLog(StreamingQueryListener):

@@ -27,6 +27,32 @@ def cycles(edges, omega, max_length):
     return found
 
 
+def walk_seeds(edges, omega):
+    """(root, begin, end) -> vertices c with strict walks root (from begin) -> c -> closing edge's source, then root at end; root and source included."""
+    e = [x[:3] for x in edges if x[0] != x[1]]
+
+    def arrivals(src, first, until):
+        """vertex -> earliest time a walk that leaves src by the edges `first` gets there before until, never back in src."""
+        at = {}
+        for s, d, t in sorted(first, key=lambda x: x[2]):
+            at[d] = min(at.get(d, t), t)
+        for s, d, t in sorted(e, key=lambda x: x[2]):
+            if t < until and d != src and s in at and t > at[s]:
+                at[d] = min(at.get(d, t), t)
+        return at
+
+    out = {}
+    for root, begin in {(s, t) for s, _, t in e}:
+        there = arrivals(root, [x for x in e if x[0] == root and x[2] == begin], begin + omega)
+        for last, _, end in [x for x in e if x[1] == root and x[0] in there and there[x[0]] < x[2] < begin + omega]:
+            found = out.setdefault((root, begin, end), set())
+            found |= {root, last}
+            for c, t, leave in [(c, t, x) for c, t in there.items() for x in e if x[0] == c and c != root and x[2] > t]:
+                if arrivals(c, [leave], end).get(last, end) < end and leave[2] < end:
+                    found.add(c)
+    return out
+
+
 def combined(seeds, omega):
     """seeds: root -> [(begin, end)]; greedy groups (root, begin, end, next_begin)."""
     out = []

@@ -116,11 +116,19 @@ def test_random_graphs(spark):
     got = {(r.root, r.begin, tuple(r.path)): (r.bundle, r.cardinality) for r in bundles.collect()}
     assert got == {k: ([sorted(set(hop)) for hop in zip(*v)], len(v)) for k, v in expect.items()}
     grown = P.bundled_cycles(frame(spark, rows), seeds, 5)
-    assert {(r.root, r.begin, tuple(r.path)): r.bundle for r in grown.collect()} == {k: v[0] for k, v in got.items()}
-    # without a bound on length, the walks that return are just the raw seeds
-    edges = frame(spark, rows)
+    assert {(r.root, r.begin, tuple(r.path)): (r.bundle, r.cardinality) for r in grown.collect()} == got
+    # without a bound on length, the walks that return are just the seeds, and candidates hold all of their cycles
+    edges, every = frame(spark, rows), brute.cycles(rows, 8, 99)
     walks = {(r.root, r.begin, r.end) for r in S.return_walks(edges, 8).collect()}
-    assert walks == {(root, times[0], times[-1]) for root, times, *_ in brute.cycles(rows, 8, 99)}
+    assert walks == {(root, times[0], times[-1]) for root, times, *_ in every}
+    reached = {(r.root, r.begin, r.end): set(r.candidates) for r in S.reachability_seeds(edges, 8).collect()}
+    assert reached == brute.walk_seeds(rows, 8)
+    assert all(set(path) <= reached[root, times[0], times[-1]] for root, times, path, _ in every)
+    # so search within these seeds finds all bundles
+    whole = bundle_rows(spark, rows, 8, 99)[2]
+    searched = P.bundled_cycles(edges, S.combined_seeds(S.reachability_seeds(edges, 8), 8))
+    columns = ["root", "begin", "path", "length", "bundle", "cardinality"]
+    assert sorted(map(str, searched.select(*columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
 
 
 def test_cycles_without_a_bound_on_length(spark):
@@ -131,7 +139,7 @@ def test_cycles_without_a_bound_on_length(spark):
     assert found.agg(F.max("length")).first()[0] == 9
     seeds = S.combined_seeds(S.raw_seeds(found), 100)
     assert P.bundled_cycles(edges, seeds).agg(F.max(F.size("path"))).first()[0] == 9
-    with pytest.warns(UserWarning, match="still open at max_length 6"):
+    with pytest.warns(UserWarning, match="still open at max_length"):
         C.temporal_cycles(edges, 100, 6)
 
 
@@ -182,7 +190,7 @@ def whole_events(monkeypatch, spark):
 
 def test_strong_components_of_whole_tables(spark, monkeypatch):
     Q, _ = whole_events(monkeypatch, spark)
-    assert {r.node: r.component for r in Q.QUERIES["strong_components_all"](spark, "").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert {r.node: r.component for r in Q.QUERIES["strong_components"](spark, "").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
 def test_summaries_merged_over_whole_tables(spark, monkeypatch):
@@ -193,7 +201,7 @@ def test_summaries_merged_over_whole_tables(spark, monkeypatch):
     for v, x, t in points:
         if v != x and t > Q.DAY:
             want.setdefault(v, []).append((x, t))
-    got = {r.v: (r.points, r.vertices, r.times) for r in Q.QUERIES["summary_sizes_all"](spark, "").collect()}
+    got = {r.v: (r.points, r.vertices, r.times) for r in Q.QUERIES["summary_sizes"](spark, "").collect()}
     assert got == {v: (len(p), len({x for x, _ in p}), len({t for _, t in p})) for v, p in want.items()}
 
 
@@ -201,6 +209,8 @@ def test_static_cycles(spark):
     edges = frame(spark, "ab1 bc1 cd1 da1 ac1 ba1".split())
     assert {"".join(r.path) for r in K.static_cycles(edges, 4).collect()} == {"ab", "acd", "abcd"}
     assert {"".join(r.path) for r in K.static_cycles(edges, 4, chordless=True).collect()} == {"ab", "acd"}
+    assert {"".join(r.path) for r in K.static_cycles(edges, 3).collect()} == {"ab", "acd"}
+    assert {"".join(r.path) for r in K.static_cycles(edges, 2, chordless=True).collect()} == {"ab"}
 
 
 def test_interpolation_and_smoothing(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomcycle.functions.times import edge_time, micros_of, omega_micros
 from loomcycle.operators import bundles as B, cycles as C, seeds as S
 from loomcycle.sources import files as R, sinks as K
-from loomcycle.streaming.windows import streaming_cycles, window_cycles
+from loomcycle.streaming.windows import CycleStream, read_found, window_cycles
 from tests import brute
 from tests.test_core import EXAMPLE, frame
 
@@ -129,7 +129,6 @@ def test_streaming_equals_batch(spark, tmp_path):
         chunk = rows[part * 50 : part * 50 + 50] + ([(0, 0, 10_000 * S1, 999)] if part == 2 else [])
         spark.createDataFrame(chunk, "src long, dst long, t long, edge_key long").withColumn("ts", F.timestamp_micros("t")).drop("t").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("src long, dst long, edge_key long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = streaming_cycles(stream, omega, 4).writeStream.format("memory").queryName("found").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted((r.root, tuple(r.times), tuple(r.path), tuple(r.edge_keys)) for r in spark.table("found").collect())
-    assert got == sorted(brute.cycles(rows, omega, 4)) and got
+    CycleStream(omega, str(tmp_path / "out")).start(stream, availableNow=True).awaitTermination(240)
+    got = sorted((r.root, tuple(r.times), tuple(r.path), tuple(r.edge_keys)) for r in read_found(spark, str(tmp_path / "out")).collect())
+    assert got == sorted(brute.cycles(rows, omega, 99)) and got
