@@ -47,14 +47,10 @@ def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int | None =
 
 def _hop(rows: DataFrame, step: DataFrame, last: bool) -> DataFrame:
     """Open paths with one more hop; closed ones pass through the outer join."""
-    met = rows.join(step, ~F.col("closed") & (F.col("seed_id") == F.col("_seed")) & (F.col("cur") == F.col("_src")), "left").where("closed OR _src IS NOT NULL")
-    closes = F.col("_dst") == F.col("root")
-    after = F.filter("_ts", lambda t: t > F.array_min(F.element_at("bundle", -1)))
-    met = met.withColumn("_after", after).where(F.col("closed") | (F.size("_after") > 0))
-    goes_on = ~F.array_contains("path", F.col("_dst"))
+    met = rows.join(step, F.expr("NOT closed AND seed_id = _seed AND cur = _src"), "left").withColumn("_after", F.expr("filter(_ts, t -> t > array_min(element_at(bundle, -1)))"))
+    goes_on = "NOT closed AND size(_after) > 0 AND _dst <> root AND NOT array_contains(path, _dst)"
+    closes = "closed OR (size(_after) > 0 AND _dst = root)"
     if last:
-        warn_if_open(met.where(~F.col("closed") & ~closes & goes_on))
-    grow = lambda name, value: F.when(F.col("closed"), F.col(name)).otherwise(F.array_append(name, value)).alias(name)
-    return met.where(F.col("closed") | closes if last else F.col("closed") | closes | goes_on).select(
-        "seed_id", "root", "begin", "end", grow("path", F.col("cur")), F.coalesce("_dst", "cur").alias("cur"), grow("bundle", F.col("_after")), (F.col("closed") | closes).alias("closed")
-    )
+        warn_if_open(met.where(goes_on))
+    grow = lambda name, value: f"if(closed, {name}, array_append({name}, {value})) AS {name}"
+    return met.where(closes if last else f"{closes} OR ({goes_on})").selectExpr("seed_id", "root", "begin", "end", grow("path", "cur"), "coalesce(_dst, cur) AS cur", grow("bundle", "_after"), "closed OR _dst = root AS closed")

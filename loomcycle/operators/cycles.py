@@ -42,11 +42,11 @@ def temporal_cycles(edges: DataFrame, omega: int, max_length: int | None = None,
     rows = returning_edges(edges, omega).select(
         F.col("src").alias("root"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "t_close", F.col("dst").alias("cur"), F.array("src").alias("path"), F.array("t").alias("times"), F.array("edge_key").alias("edge_keys"), F.lit(False).alias("closed")
     )
-    found, length = None, 1
+    hop, found, length = _Hop(step, omega), None, 1
     while True:
         for _ in range(HOPS_A_CHECKPOINT if max_length is None else min(HOPS_A_CHECKPOINT, max_length - length)):
             length += 1
-            rows = _hop(rows, step, omega, length == max_length, warn=length == max_length > min_length)
+            rows = hop(rows, length == max_length, warn=length == max_length > min_length)
         rows = cut_lineage(rows)
         closed = rows.where(F.col("closed") & (F.size("path") >= min_length)).select("root", "t_start", "t_end", F.size("path").alias("length"), "path", "times", "edge_keys")
         found = closed if found is None else found.unionByName(closed)
@@ -55,22 +55,26 @@ def temporal_cycles(edges: DataFrame, omega: int, max_length: int | None = None,
             return found
 
 
-def _hop(rows: DataFrame, step: DataFrame, omega: int, last: bool, warn: bool) -> DataFrame:
-    """Open paths with one more edge; closed ones pass through the outer join, so hops chain without a union."""
-    bucket = F.floor(F.col("t_end") / omega)
-    probe = rows.withColumn("_pb", F.explode(F.when(F.col("closed"), F.array(bucket)).otherwise(F.array(bucket, bucket + 1))))
-    meets = ~F.col("closed") & (F.col("cur") == F.col("_src")) & (F.col("_pb") == F.col("_b")) & (F.col("_t") > F.col("t_end")) & (F.col("_t") <= F.col("t_close"))
-    met = probe.join(step, meets, "left").where("closed OR _src IS NOT NULL")
-    closes = F.col("_dst") == F.col("root")
-    goes_on = ~F.array_contains("path", F.col("_dst")) & (F.col("_t") < F.col("t_close"))
-    if warn:
-        warn_if_open(met.where(~F.col("closed") & ~closes & goes_on))
-    met = met.where(F.col("closed") | closes if last else F.col("closed") | closes | goes_on)
-    grow = lambda name, value: F.when(F.col("closed"), F.col(name)).otherwise(F.array_append(name, value)).alias(name)
-    return met.select(
-        "root", "t_start", F.coalesce("_t", "t_end").alias("t_end"), "t_close", F.coalesce("_dst", "cur").alias("cur"),
-        grow("path", F.col("cur")), grow("times", F.col("_t")), grow("edge_keys", F.col("_key")), (F.col("closed") | closes).alias("closed"),
-    )
+class _Hop:
+    """Open paths with one more edge; closed ones pass through the outer join, so hops chain without a union.
+
+    The expressions are built once: a round trip for each would cost more than a small hop.
+    """
+
+    def __init__(self, step: DataFrame, omega: int):
+        self.step = step
+        self.buckets = F.expr(f"explode(if(closed, array(floor(t_end / {omega})), array(floor(t_end / {omega}), floor(t_end / {omega}) + 1)))")
+        self.meets = F.expr("NOT closed AND cur = _src AND _pb = _b AND _t > t_end AND _t <= t_close")
+        self.open = "NOT closed AND _dst <> root AND NOT array_contains(path, _dst) AND _t < t_close"
+        self.keep = f"closed OR _dst = root OR ({self.open})"
+        grow = lambda name, value: f"if(closed, {name}, array_append({name}, {value})) AS {name}"
+        self.columns = ["root", "t_start", "coalesce(_t, t_end) AS t_end", "t_close", "coalesce(_dst, cur) AS cur", grow("path", "cur"), grow("times", "_t"), grow("edge_keys", "_key"), "closed OR _dst = root AS closed"]
+
+    def __call__(self, rows: DataFrame, last: bool, warn: bool) -> DataFrame:
+        met = rows.withColumn("_pb", self.buckets).join(self.step, self.meets, "left")
+        if warn:
+            warn_if_open(met.where(self.open))
+        return met.where("closed OR _dst = root" if last else self.keep).selectExpr(*self.columns)
 
 
 def warn_if_open(paths: DataFrame) -> None:

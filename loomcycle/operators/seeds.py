@@ -18,14 +18,13 @@ def reverse_reachability(edges: DataFrame, omega: int, max_hops: int | None = No
     e = cut_lineage(edges.where("src <> dst").select("src", "dst", "t").distinct())
     step = e.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("t").alias("_t"), F.floor(F.col("t") / omega).alias("_b"))
     known = e.select(F.col("dst").alias("v"), F.col("src").alias("x"), F.col("t").alias("tx"), F.col("t").alias("ta"), F.lit(1).alias("fresh"))
+    buckets = F.expr(f"explode(array(floor(ta / {omega}), floor(ta / {omega}) + 1))")
+    meets = F.expr(f"v = _s AND _pb = _b AND _t > ta AND _t < tx + {omega} AND _d <> x")
+    first = F.expr("min(struct(ta, fresh)) AS m")  # of equal arrivals the known one wins, so what stays fresh is an improvement
     for hops in count():
-        bucket = F.floor(F.col("ta") / omega)
-        probe = known.where("fresh = 1").withColumn("_pb", F.explode(F.array(bucket, bucket + 1)))
-        met = probe.join(step, (F.col("v") == F.col("_s")) & (F.col("_pb") == F.col("_b")) & (F.col("_t") > F.col("ta")) & (F.col("_t") < F.col("tx") + omega) & (F.col("_d") != F.col("x")))
-        new = met.select(F.col("_d").alias("v"), "x", "tx", F.col("_t").alias("ta"), F.lit(1).alias("fresh"))
-        # of equal arrivals the known one wins, so what stays fresh is an improvement
-        first = known.withColumn("fresh", F.lit(0)).unionByName(new).groupBy("v", "x", "tx").agg(F.min(F.struct("ta", "fresh")).alias("m"))
-        known = cut_lineage(first.select("v", "x", "tx", "m.*"))
+        met = known.where("fresh = 1").withColumn("_pb", buckets).join(step, meets)
+        both = known.selectExpr("v", "x", "tx", "ta", "0 AS fresh").unionAll(met.selectExpr("_d", "x", "tx", "_t", "1"))
+        known = cut_lineage(both.groupBy("v", "x", "tx").agg(first).selectExpr("v", "x", "tx", "m.ta", "m.fresh"))
         if known.where("fresh = 1").isEmpty():
             return known.drop("fresh")
         if hops == max_hops:

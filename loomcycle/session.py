@@ -16,6 +16,8 @@ def build_session(app: str = "loomcycle", cores: str = "*", shuffle_partitions:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.sql.limit.initialNumPartitions", "64")  # small partitions: one job says whether any has a row
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack walk for each expression
         .config("spark.ui.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
