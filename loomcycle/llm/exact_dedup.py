@@ -1,20 +1,21 @@
 """Exact deduplication by content-defined chunk recipes, in built-in functions only.
 
-Each normalised text is cut at content-defined places (a sentence end after at least `MIN_CHUNK`
-code points, at most `MAX_CHUNK`). A chunk's identifier is 64 bits of its hash; an identifier is
-verified when all chunks that carry it have one SHA-256, and a document holding an unverified one
-also carries those digests. Documents are equal when their ordered identifier lists are equal;
-the digest of the whole text, which the result carries anyway, is compared last. Texts themselves
-are read once and never shuffled.
-
-Defined cases: a null text is empty, and all empty texts are equal. A null doc_id sorts after all
-others. Rows that share doc_id and text count as one group; the row read first stays. An empty
-table gives an empty result. Further columns of the input, whatever their names, are ignored.
+1. Each normalised text is cut at content-defined places (a sentence end after at least `MIN_CHUNK` code
+   points, at most `MAX_CHUNK`), and each chunk gets 64 bits of its hash and a SHA-256 mark.
+2. All chunks are deduplicated to a table of hashes. A hash whose chunks all have one mark is verified and is
+   the identifier of its chunk; of the others, the distinct chunks are numbered by their marks, and hash and
+   number together are the identifier.
+3. Documents are equal when their ordered identifier lists are equal: the lists are the group key. Texts are
+   read once and never shuffled; the digest of the whole text is only carried into the result.
+
+Defined cases: a null text is empty, and all empty texts are equal. A very long text is a longer list. A null
+doc_id sorts after all others. Rows that share doc_id and text count as one group; the row read first stays.
+An empty table gives an empty result. Further columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomcycle.session import cut_lineage
 
@@ -49,29 +50,28 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_
     )
 
 
-def _unverified(recipe_rows: DataFrame) -> DataFrame:
-    """Identifiers that stand for more than one chunk."""
-    pairs = recipe_rows.select(F.explode(F.arrays_zip("recipe", "marks")).alias("x")).select("x.recipe", "x.marks")
-    return pairs.distinct().groupBy("recipe").agg(F.count("*").alias("n")).where("n > 1").select(F.col("recipe").alias("ident"))
+def chunk_identifiers(recipe_rows: DataFrame) -> DataFrame:
+    """ident, mark, variant: the distinct chunks of those hashes that stand for several, numbered within each."""
+    pairs = recipe_rows.select(F.explode(F.arrays_zip("recipe", "marks")).alias("x")).select(F.col("x.recipe").alias("ident"), F.col("x.marks").alias("mark"))
+    table = pairs.groupBy("ident").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    doubtful = cut_lineage(table.where("low <> high").select("ident"))
+    several = pairs.join(doubtful, "ident", "left_semi").distinct()
+    return cut_lineage(several.withColumn("variant", F.row_number().over(W.partitionBy("ident").orderBy("mark"))))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bits: int = 64) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = recipes(docs, id_col, text_col, id_bits)
-    doubtful = cut_lineage(_unverified(rows))
-    if doubtful.isEmpty():
-        keyed = rows.select("row_no", "doc_id", "text_sha256", "recipe", F.lit("").alias("extra"))
+    variants = chunk_identifiers(rows)
+    if variants.isEmpty():
+        keyed = rows.withColumn("variants", F.lit(None).cast("array<struct<place:int,variant:int>>"))
     else:
         places = rows.select("row_no", F.posexplode(F.arrays_zip("recipe", "marks")).alias("place", "x"))
-        extra = (
-            places.join(doubtful, F.col("x.recipe") == F.col("ident"))
-            .groupBy("row_no")
-            .agg(F.to_json(F.array_sort(F.collect_list(F.struct("place", F.hex("x.marks").alias("m"))))).alias("extra"))
-        )
-        keyed = rows.join(extra, "row_no", "left").select(
-            "row_no", "doc_id", "text_sha256", "recipe", F.coalesce("extra", F.lit("")).alias("extra")
-        )
-    key = ["recipe", "extra", "text_sha256"]
+        met = places.join(variants, (F.col("x.recipe") == F.col("ident")) & (F.col("x.marks") == F.col("mark")))
+        numbered = met.groupBy("row_no").agg(F.array_sort(F.collect_list(F.struct("place", "variant"))).alias("variants"))  # one document's chunks
+        keyed = rows.join(numbered, "row_no", "left")
+    key = ["recipe", "variants"]
+    keyed = keyed.select("row_no", "doc_id", "text_sha256", "recipe", F.coalesce("variants", F.array().cast("array<struct<place:int,variant:int>>")).alias("variants"))
     first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row_no"))
     groups = keyed.groupBy(*key).agg(first.alias("first"), F.count("*").alias("group_size"))
     return keyed.join(groups, key).select(

@@ -5,15 +5,22 @@ least `min_chars` code points count. Keys are 128-bit hashes: 64 bits choose sha
 other 64 are the fingerprint that a slot must repeat, so keys outside the index fall through.
 
 1. A narrow pass emits each document's distinct key hashes; Spark counts them with map-side combine
-   (a line that a third of all documents hold is one row per task). Keys in `min_docs` documents stay.
-2. Keys are dealt to shards of about `SHARD_KEYS`; each shard's task builds a hash-and-displace minimal
-   perfect hash and lays the fingerprint, count and largest doc_id of slot i at place i of three arrays.
-3. Documents probe. Arrays that fit in `broadcast_bytes` together go to every executor. Beyond that the
-   documents' hashes travel to the shards (hot shards salted), and the marks travel back.
-
-Defined cases: a null or empty text is one empty line, which no key covers. A null doc_id counts as
-smaller than all others. Rows that repeat a doc_id count as documents of their own and all keep a line
-whose largest holder is that doc_id. An empty table gives an empty result. Further columns are ignored.
+   (a line that a third of all documents hold is one row per task).
+2. The distinct hashes are dealt to shards of about `SHARD_KEYS`; each shard's task builds a hash-and-displace
+   minimal perfect hash and lays the fingerprint, count and largest doc_id of slot i at place i of three arrays.
+   A hash that one document alone holds keeps its line whatever the counts of others, so it needs no slot: a
+   probe for it meets another's fingerprint.
+3. Documents probe: a line goes if its count reaches `min_docs` and its largest holder is another document.
+   Arrays that fit in `broadcast_bytes` together go to every executor. Beyond that the documents' hashes travel
+   to the shards and the marks travel back; a shard gets as many salted copies as its counts say it has probes
+   for, and only the shards with several, `HOT_SHARDS` at most, are told to the tasks.
+
+Two keys of a shard that share 64 bits are told apart by folding the other 64 in (`fold`).
+
+Defined cases: a null or empty text is one empty line, which no key covers. A very long text or line is read
+whole. A null doc_id counts as smaller than all others. Rows that repeat a doc_id count as documents of their own
+and all keep a line whose largest holder is that doc_id. An empty table gives an empty result. Further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ from loomcycle.session import cut_lineage
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 1 << 15
 BROADCAST_BYTES = 48 << 20
+PROBES, HOT_SHARDS = 1 << 20, 10_000
+_ARRAYS = ("fold", "seeds", "prints", "counts", "last")
 _NO_ID = -(1 << 63)
 _SPACE = " \t\n\x0b\x0c\r"
 _KEYS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64())])
@@ -92,17 +101,22 @@ class MinimalPerfectHash:
         return (_mix(keys, self.seeds[bucket].astype(np.uint64)) % np.uint64(self.n)).astype(np.int64)
 
 
+def _folded(h1: np.ndarray, h2: np.ndarray, fold: int) -> np.ndarray:
+    return h1 if not fold else (h1.astype(np.uint64) ^ _mix(h2, fold)).view(np.int64)
+
+
 class LineShard:
     """One shard: the perfect hash and its arrays."""
 
-    def __init__(self, seeds: bytes, prints: bytes, counts: bytes, last: bytes):
-        self.prints, self.counts, self.last = (np.frombuffer(x, np.int64) for x in (prints, counts, last))
+    def __init__(self, fold: int, seeds: bytes, prints: bytes, counts: bytes, last: bytes):
+        self.fold, self.counts = fold, np.frombuffer(counts, np.uint32)
+        self.prints, self.last = (np.frombuffer(x, np.int64) for x in (prints, last))
         self.hash = MinimalPerfectHash(np.frombuffer(seeds, np.uint32), len(self.prints))
 
     def probe(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the keys are in the shard, and the largest doc_id that holds each."""
-        slot = self.hash.slots(h1)
-        return self.prints[slot] == h2, self.last[slot]
+        """How many documents hold each key (0 if the shard lacks it), and the largest doc_id among them."""
+        slot = self.hash.slots(_folded(h1, h2, self.fold))
+        return np.where(self.prints[slot] == h2, self.counts[slot], 0), self.last[slot]
 
 
 def _shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
@@ -129,33 +143,34 @@ def _emit_keys(batches: Iterable[pa.RecordBatch], min_chars: int) -> Iterator[pa
 
 def _build_shard(frame: pd.DataFrame) -> pd.DataFrame:
     h1, h2 = frame["h1"].to_numpy(np.int64), frame["h2"].to_numpy(np.int64)
-    if len(np.unique(h1)) < len(h1):
-        raise ValueError("two keys of a shard share 64 bits of their hash; use more bits")  # about n^2 / 2^65
-    mph = MinimalPerfectHash.build(h1)
-    slot = mph.slots(h1)
-    arrays = [np.empty(len(h1), np.int64) for _ in range(3)]
-    for array, column in zip(arrays, (h2, frame["n"], frame["last"])):
-        array[slot] = column
-    return pd.DataFrame({"shard": [int(frame["shard"].iloc[0])], "seeds": [mph.seeds.tobytes()]} | {k: [a.tobytes()] for k, a in zip(("prints", "counts", "last"), arrays)})
-
-
-def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """h1, h2, n (documents), last (largest doc_id) of each key in at least min_docs documents."""
+    fold = 0
+    while len(np.unique(keys := _folded(h1, h2, fold))) < len(h1):  # the pairs differ, so some fold parts them
+        fold += 1
+    mph = MinimalPerfectHash.build(keys)
+    slot = mph.slots(keys)
+    prints, counts, last = np.empty(len(h1), np.int64), np.empty(len(h1), np.uint32), np.empty(len(h1), np.int64)
+    prints[slot], counts[slot], last[slot] = h2, np.minimum(frame["n"], 0xFFFFFFFF), frame["last"]
+    row = {"shard": int(frame["shard"].iloc[0]), "load": int(frame["n"].sum()), "fold": fold, "seeds": mph.seeds.tobytes()}
+    return pd.DataFrame([row | {k: a.tobytes() for k, a in (("prints", prints), ("counts", counts), ("last", last))}])
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, least: int = 2) -> DataFrame:
+    """h1, h2, n (documents), last (largest doc_id) of the distinct keys that at least `least` documents hold."""
     keys = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(lambda it: _emit_keys(it, min_chars), "h1 long, h2 long, doc long")
-    return keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
+    return keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= least)
 
 
-def line_index(frequent: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: shard, seeds, prints, counts, last."""
+def line_index(lines: DataFrame, shards: int) -> DataFrame:
+    """One row per shard: shard, load (probes that will hit it), fold, seeds, prints, counts, last."""
 
     @F.pandas_udf("long")
     def shard(h1: pd.Series) -> pd.Series:
         return pd.Series(_shard_of(h1.to_numpy(np.int64), shards))
 
-    return frequent.withColumn("shard", shard("h1")).groupBy("shard").applyInPandas(_build_shard, "shard long, seeds binary, prints binary, counts binary, last binary")
+    return lines.withColumn("shard", shard("h1")).groupBy("shard").applyInPandas(_build_shard, "shard long, load long, fold long, seeds binary, prints binary, counts binary, last binary")
 
 
-def _dropped(doc: int | None, text: str | None, shards: dict[int, LineShard], n: int, min_chars: int) -> tuple[list[str], np.ndarray]:
+def _dropped(doc: int | None, text: str | None, shards: dict[int, LineShard], n: int, min_chars: int, min_docs: int) -> tuple[list[str], np.ndarray]:
     lines = _split(text)
     at, hashes = key_hashes(lines, min_chars)
     drop = np.zeros(len(lines), bool)
@@ -164,8 +179,8 @@ def _dropped(doc: int | None, text: str | None, shards: dict[int, LineShard], n:
         for s in np.unique(owner):
             if (shard := shards.get(int(s))) is not None:
                 mine = np.flatnonzero(owner == s)
-                hit, last = shard.probe(hashes[mine, 0], hashes[mine, 1])
-                drop[np.array(at)[mine[hit & (last != me)]]] = True
+                count, last = shard.probe(hashes[mine, 0], hashes[mine, 1])
+                drop[np.array(at)[mine[(count >= min_docs) & (last != me)]]] = True
     return lines, drop
 
 
@@ -189,30 +204,35 @@ def line_dedup(
     min_docs: int = MIN_DOCS,
     broadcast_bytes: int = BROADCAST_BYTES,
     shard_keys: int = SHARD_KEYS,
+    probes: int = PROBES,
 ) -> DataFrame:
     """doc_id, n_lines (before), n_dropped, text (the lines that stay)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent = cut_lineage(frequent_lines(docs, "doc_id", "text", min_chars, min_docs))
-    n = max(1, -(-frequent.count() // shard_keys))
-    index = cut_lineage(line_index(frequent, n))
-    size = sum(F.length(c) for c in ("seeds", "prints", "counts", "last"))
+    lines = cut_lineage(repeated_lines(docs, "doc_id", "text", min_chars, min(2, min_docs)))
+    n = max(1, -(-lines.count() // shard_keys))
+    index = cut_lineage(line_index(lines, n))
+    size = sum(F.length(c) for c in _ARRAYS[1:])
     if (index.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes:
-        sent = spark.sparkContext.broadcast({r["shard"]: tuple(bytes(r[c]) for c in ("seeds", "prints", "counts", "last")) for r in index.collect()})
+        sent = spark.sparkContext.broadcast({r["shard"]: (r["fold"], *(bytes(r[c]) for c in _ARRAYS[1:])) for r in index.collect()})
 
         def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shards = {k: LineShard(*v) for k, v in sent.value.items()}
             for batch in batches:
-                rows = [_clean(d, *_dropped(d, t, shards, n, min_chars)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                rows = [_clean(d, *_dropped(d, t, shards, n, min_chars, min_docs)) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
                 if rows:
                     yield _frame(rows)
 
         return docs.mapInArrow(probe, _OUT)
-    return _probe_by_shuffle(docs, index, n, min_chars)
+    return _probe_by_shuffle(docs, index, n, min_chars, min_docs, probes)
 
 
-def _probe_by_shuffle(docs: DataFrame, index: DataFrame, n: int, min_chars: int, salt: int = 64) -> DataFrame:
+def _probe_by_shuffle(docs: DataFrame, index: DataFrame, n: int, min_chars: int, min_docs: int, per_task: int) -> DataFrame:
     """For an index of any size: hashes go to (shard, salt), marked places come back to their rows."""
+    total = index.agg(F.sum("load")).first()[0] or 0
+    per_task = max(per_task, -(-total // HOT_SHARDS))  # so fewer than HOT_SHARDS shards can have more
+    salted = index.withColumn("salts", F.floor(F.col("load") / per_task) + 1)
+    hot = {r["shard"]: r["salts"] for r in salted.where("salts > 1").select("shard", "salts").collect()}
     docs = cut_lineage(docs.withColumn("row_no", F.monotonically_increasing_id()))
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,18 +246,23 @@ def _probe_by_shuffle(docs: DataFrame, index: DataFrame, n: int, min_chars: int,
                 keys.append(hashes)
             if row:
                 both = np.concatenate(keys)
-                columns = [row, doc, place, both[:, 0], both[:, 1], _shard_of(both[:, 0], n), np.array(row) % salt]
+                owner = _shard_of(both[:, 0], n)
+                salts = np.ones(len(owner), np.int64)
+                for shard in np.unique(owner).tolist():
+                    if shard in hot:
+                        salts[owner == shard] = hot[shard]
+                columns = [row, doc, place, both[:, 0], both[:, 1], owner, np.array(row) % salts]
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["row_no", "doc", "place", "h1", "h2", "shard", "salt"])
 
     def mark(key: tuple, probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(probes) or not len(shard):
             return pd.DataFrame({"row_no": [], "place": []})
-        one = LineShard(*(bytes(shard[c].iloc[0]) for c in ("seeds", "prints", "counts", "last")))
-        hit, last = one.probe(probes["h1"].to_numpy(np.int64), probes["h2"].to_numpy(np.int64))
-        return probes.loc[hit & (last != probes["doc"].to_numpy(np.int64)), ["row_no", "place"]]
+        one = LineShard(int(shard["fold"].iloc[0]), *(bytes(shard[c].iloc[0]) for c in _ARRAYS[1:]))
+        count, last = one.probe(probes["h1"].to_numpy(np.int64), probes["h2"].to_numpy(np.int64))
+        return probes.loc[(count >= min_docs) & (last != probes["doc"].to_numpy(np.int64)), ["row_no", "place"]]
 
     probes = docs.select("row_no", "doc_id", "text").mapInArrow(places, "row_no long, doc long, place long, h1 long, h2 long, shard long, salt long")
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<long>")))
+    salted = salted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("shard", "salt", *_ARRAYS)
     marks = probes.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInPandas(mark, "row_no long, place long")
     by_row = marks.groupBy("row_no").agg(F.collect_set("place").alias("places"))
 

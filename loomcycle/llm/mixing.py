@@ -6,16 +6,17 @@ A document is taken floor(r) times for sure, r being its source's target over it
 with probability r - floor(r). The flight phase moves these probabilities along the null space of two
 balancing equations - words and number of documents - until all but a few are 0 or 1:
 
-* a source's documents are dealt by hash into blocks of about `BLOCK`, so a source with a third of all
-  rows is many tasks; each block flies on its own and stops at `LANDING` fractional documents;
+* a source's documents are dealt by a hash of id and text into blocks of about `BLOCK`, so a source with a third
+  of all rows is many tasks; a block that one often repeated row overfills is dealt again by row number; each
+  block flies on its own and stops at `LANDING` fractional documents;
 * the blocks' leftovers, `LANDING` each, fly together in groups, and again, until one group is left;
 * the landing problem of at most `LANDING` documents is solved by looking at all roundings.
 
 Each step keeps a source's expected words and documents exactly, so only the landing errs.
 
 Defined cases: a null text has no words; documents without words are never taken. A source whose ratio
-is a whole number needs no sampling. Repeated rows are documents of their own; null doc_ids share a block.
-An empty table gives an empty result. Further columns of the input are ignored.
+is a whole number needs no sampling. Repeated rows and null doc_ids are documents of their own. A very long text
+counts all of its words. An empty table gives an empty result. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -125,10 +126,11 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: one row per input row."""
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
-    sized = cut_lineage(sized.withColumns({"row_no": F.monotonically_increasing_id(), "key": F.xxhash64("doc_id")}))
+    """doc_id, source, size, source_size, target, copies, taken, row_no: one row per input row; row_col names unique longs to use as row_no."""
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("key"), F.col(row_col).alias("row_no") if row_col else F.monotonically_increasing_id().alias("row_no"))
+    sized = cut_lineage(sized)
     per_source = cut_lineage(targets(sized, weights, share, most))
     same = sized["source"].eqNullSafe(per_source["source"])
     # one row per source; Spark broadcasts it only below its own size threshold and joins by shuffle above
@@ -141,8 +143,12 @@ def mix(
     open_ = rows.where((F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)).select("source", "row_no", "key", "size", "p")
     counts = open_.groupBy("source").agg((F.floor(F.count("*") / F.lit(block)) + 1).alias("blocks"))
     blocked = open_.join(counts, open_["source"].eqNullSafe(counts["source"])).drop(counts["source"])
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    state = cut_lineage(blocked.groupBy("source", "block").applyInPandas(_flight(False), _ROWS))
+    blocked = cut_lineage(blocked.withColumn("block", F.pmod(F.xxhash64("key"), "blocks")).drop("blocks"))
+    # blocks vary little around `block`; one of several times that has a row that repeats
+    full = blocked.groupBy("source", "block").count().where(F.col("count") > 4 * block).select(F.col("source").alias("_s"), F.col("block").alias("_b"), F.floor(F.col("count") / block).alias("parts"))
+    parted = blocked.join(full, blocked["source"].eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left").drop("_s", "_b")
+    parted = parted.withColumn("part", F.coalesce(F.pmod(F.xxhash64("row_no"), "parts"), F.lit(0)))
+    state = cut_lineage(parted.groupBy("source", "block", "part").applyInPandas(_flight(False), _ROWS))
     settled = state.where((F.col("p") <= _EPS) | (F.col("p") >= 1 - _EPS))
     fractional = state.where((F.col("p") > _EPS) & (F.col("p") < 1 - _EPS))
     while True:  # each round leaves LANDING of `block` rows, so a few rounds reach one group a source

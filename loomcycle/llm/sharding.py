@@ -5,9 +5,12 @@ hash. Rows of one arc are ranked by (hash, ties); how many rows an arc holds is
 (shards * vnodes numbers, whatever the input's size) to send what overflows a full shard clockwise.
 Capacities differ by one at most and add up to the number of rows, so every shard ends exactly full.
 
-Defined cases: a null text has no bytes and the CRC of the empty text. A null doc_id is placed by its
-text's hash instead. Repeated rows take neighbouring ranks. An empty table gives an empty result.
-Further columns of the input, whatever their names, are ignored.
+Ranks within an arc come from range partitions of (arc, hash, ties, row): numbers within a partition plus
+the sizes of the arc's parts before it, so an arc, or one row repeated in a third of the table, is many tasks.
+
+Defined cases: a null text has no bytes and the CRC of the empty text; a very long text is read once, for its
+size and CRC. A null doc_id is placed by its text's hash instead. Repeated rows take neighbouring ranks. An
+empty table gives an empty result. Further columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -89,7 +92,12 @@ def shard_documents(docs: DataFrame, shards: int = 24, vnodes: int = VNODES, id_
     def arc(h: pd.Series) -> pd.Series:  # a binary search over a ring of fixed size
         return pd.Series((np.searchsorted(ends, h.to_numpy(np.int64)) % len(ends)).astype(np.int32))
 
-    placed = cut_lineage(rows.withColumn("arc", arc("h")))
+    order = ["h", F.col("doc_id").asc_nulls_last(), "text_crc32", "size", "row_no"]
+    ranged = rows.withColumns({"arc": arc("h"), "row_no": F.monotonically_increasing_id()}).repartitionByRange("arc", *order)
+    placed = cut_lineage(ranged.withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy("part", "arc").agg(F.count("*").alias("n"))  # an arc's parts are neighbours: at most parts + arcs rows
+    ahead = F.coalesce(F.sum("n").over(W.partitionBy("arc").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("ahead", ahead)
     counted = {r["arc"]: r["count"] for r in placed.groupBy("arc").count().collect()}  # at most shards * vnodes rows
     counts = [counted.get(i, 0) for i in range(len(points))]
     pieces = spill(counts, [s for _, s in points], even_caps(sum(counts), shards))
@@ -97,8 +105,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, vnodes: int = VNODES, id_
         [(a, lo, hi, s, slot) for a, ps in enumerate(pieces) for (lo, s, slot), hi in zip(ps, [p[0] for p in ps[1:]] + [counts[a]])],
         "arc int, lo long, hi long, shard int, slot0 long",
     ).groupBy("arc").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "shard", "slot0"))).alias("pieces"))
-    rank = F.row_number().over(W.partitionBy("arc").orderBy("h", F.col("doc_id").asc_nulls_last(), "text_crc32", "size")).cast("long") - 1
-    ranked = placed.withColumn("rank", rank).join(F.broadcast(table), "arc")  # one row per arc: a fixed bound
+    rank = F.row_number().over(W.partitionBy("part", "arc").orderBy(*order)).cast("long") - 1
+    ranked = placed.withColumn("inside", rank).join(sizes, ["part", "arc"]).withColumn("rank", F.col("inside") + F.col("ahead")).join(F.broadcast(table), "arc")  # one row per arc: a fixed bound
     piece = F.element_at(F.filter("pieces", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"])), 1)
     return ranked.withColumn("piece", piece).select(
         "doc_id", "size", "text_crc32", F.col("piece.shard").alias("shard"), (F.col("piece.slot0") + F.col("rank") - F.col("piece.lo")).alias("slot")
