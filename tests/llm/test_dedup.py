@@ -218,3 +218,63 @@ def test_repeated_passages_odd_tables(docs_of):
     assert got == []
     assert [(r.doc_id, r.other_doc_id) for r in repeated_passages(docs_of([(1, a), (1, "short"), (2, a + " b")])).orderBy("doc_id").collect()] == [(1, 2), (2, 1)]
     assert repeated_passages(docs_of([])).count() == 0
+
+
+def test_candidates_of_salted_shingles():
+    """Runs that salts and batches cut are joined again: what the runs of unsalted rows join stays joined."""
+    import pyarrow as pa
+
+    from loomcycle.llm.ngram_join import _candidates
+
+    rng = random.Random(8)
+    nodes = [(rng.randrange(3), rng.randint(1, 60), i + 100) for i in range(200)]
+
+    def run(rows, step):
+        rows = sorted(rows)
+        cut = [rows[i : i + step] for i in range(0, len(rows), step)]
+        batches = (pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["h", "salt", "lo", "hi", "node"]) for part in cut)
+        return [r for b in _candidates(batches, 80) for r in b.to_pylist()]
+
+    def classes(pairs):
+        forest = Forest(400)
+        for a, b in pairs:
+            forest.union(a, b)
+        return [forest.find(i) for i in range(400)]
+
+    want = classes((r["a"], r["b"]) for r in run([(h, -1, n, n, i) for h, n, i in nodes], 1000))
+    for step in (1, 7, 1000):
+        assert classes((r["a"], r["b"]) for r in run([(h, -1, n, n, i) for h, n, i in nodes], step)) == want
+        salted = run([(h, i % 5, n, n, i) for h, n, i in nodes], step)
+        runs = [(r["h"], -1, r["lo"], r["hi"], r["a"]) for r in salted if r["h"] is not None]
+        pairs = [(r["a"], r["b"]) for r in salted if r["h"] is None] + [(r["a"], r["b"]) for r in run(runs, step)]
+        got = classes(pairs)
+        for h, n, i in nodes:  # salted runs may join more, never less
+            for k, m, j in nodes:
+                if h == k and 100 * min(n, m) >= 80 * max(n, m):
+                    assert got[i] == got[j]
+
+
+def test_line_dedup_hot_shards_and_shared_bits(docs_of):
+    from loomcycle.llm import line_dedup as L
+
+    lines = [f"a line that is long enough {k}" for k in range(6)]
+    rows = [(i, "\n".join(lines[: 1 + i % 6])) for i in range(90)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup(docs_of(rows), broadcast_bytes=0, shard_keys=2, probes=20).collect()}
+    assert got == want_lines(rows)
+    import pandas as pd
+
+    frame = pd.DataFrame({"shard": 0, "h1": [5, 5, 7], "h2": [1, 2, 3], "n": [3, 4, 5], "last": [9, 8, 7]})
+    r = L._build_shard(frame).iloc[0]
+    count, last = L.LineShard(r["fold"], *(r[c] for c in L._ARRAYS[1:])).probe(np.array([5, 5, 7, 7]), np.array([1, 2, 3, 4]))
+    assert r["fold"] > 0 and count.tolist() == [3, 4, 5, 0] and last[:3].tolist() == [9, 8, 7]
+
+
+def test_spread_join(spark):
+    from pyspark.sql import functions as F
+
+    from loomcycle.llm.spread import spread_join
+
+    rows = spark.createDataFrame([(1 if i < 700 else i, i) for i in range(1000)], "k long, id long")
+    unique = spark.createDataFrame([(k, k * 2) for k in [1, *range(700, 990)]], "k long, v long")
+    got = sorted(map(tuple, spread_join(rows, unique, "k", F.col("id"), 50).select("k", "id", "v").collect()))
+    assert got == sorted((k, i, 2 * k) for k, i in [(1 if i < 700 else i, i) for i in range(1000)] if k < 990)
