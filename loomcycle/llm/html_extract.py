@@ -1,15 +1,16 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
 Every element and text node has a hidden label, content or not. A node's potential is linear in features
-of its tag, the words of its class, id and role, its text's length and punctuation, and the share of link
-text below it; a 2 x 2 table for each kind of node joins it to its parent. One upward and one downward
+of its tag, the words of its class, id and role, its text's length and punctuation, the share of link text
+below it, and its share of the page's text; a 2 x 2 table for each kind of node joins it to its parent. One upward and one downward
 pass of sum-product messages give exact marginals; a block is kept if the marginals of its text, weighed
 by length, reach one half. The potentials are trained by the gradient of the likelihood of whole labelled
 pages (expected counts from the same messages), on pages of `html_training`.
 
 Defined cases: null or empty html, and pages without text, give an empty text. Broken markup is read as
 browsers do, roughly: missing end tags are implied, stray ones ignored, a tag that never ends is dropped
-with what follows. Repeated rows give equal results, an empty table an empty one. Further columns of the
+with what follows, as raw text (scripts, styles, titles, text areas, frames) without an end is; other elements that
+never end show what they hold. Very long or deep pages take time in proportion to their length. Repeated rows give equal results, an empty table an empty one. Further columns of the
 input are ignored.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loomcycle.llm.html_tree import Tree, parse
 
-SLOTS = 2048
+SLOTS = 1 << 15
 _NAME = re.compile(r"[a-z]+|\d+")
 _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SENTENCE = re.compile(r"[.!?…](?:\s|$)")
@@ -60,14 +61,14 @@ def features(tree: Tree) -> list[list[int]]:
         chars[p] += chars[i]
         linked[p] += linked[i]
         ends[p] += ends[i]
-    out = []
+    out, prose = [], max(1, chars[0] - linked[0])
     for i in range(n):
         tag, parent = tree.tag[i], tree.parent[i]
         above = tree.tag[parent] if parent >= 0 else ""
         length = min(8, chars[i].bit_length() // 2 + (chars[i] > 0))
         density = -1 if not chars[i] else round(4 * linked[i] / chars[i])
         kind = "t" if tag == "#text" else "e"
-        names = [f"tag {tag}", f"pair {above} {tag}", f"{kind} length {length}", f"{kind} links {density}", f"{kind} ends {min(3, ends[i])}"]
+        names = [f"tag {tag}", f"pair {above} {tag}", f"{kind} length {length}", f"{kind} links {density}", f"{kind} ends {min(3, ends[i])}", f"{kind} share {4 * (chars[i] - linked[i]) // prose}"]
         if kind == "e" and tree.attrs[i]:
             for key in ("class", "id", "role", "aria-label"):
                 names += [f"name {x}" for x in _names(tree.attrs[i].get(key, ""))]
@@ -105,15 +106,20 @@ def _log_ratio(a: float, b: float, c: float, d: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b))) - max(c, d) - math.log1p(math.exp(-abs(c - d)))
 
 
-def fit(pages: list[str], rounds: int = 150, rate: float = 0.08, decay: float = 2e-3) -> PageModel:
-    """Labelled pages mark their elements by data-main="1" or "0"; a node without a mark has its parent's label."""
+def fit(pages: list[str], rounds: int = 120, rate: float = 0.1, decay: float = 4e-4) -> PageModel:
+    """Labelled pages mark their elements by data-main="1" or "0"; a node without a mark has its parent's label.
+
+    A page that begins with `html_training.MAIN_ALL` is main text as a whole.
+    """
+    from loomcycle.llm.html_training import MAIN_ALL
+
     parent, label, kind, depth, row, col = [], [], [], [], [], []
     for page in pages:
         tree, base = parse(page), len(parent)
         for i, slots in enumerate(features(tree)):
             p = tree.parent[i]
             parent.append(p + base if p >= 0 else -1)
-            mark = tree.attrs[i].get("data-main")
+            mark = tree.attrs[i].get("data-main") or ("1" if p < 0 and page.startswith(MAIN_ALL) else None)
             label.append(int(mark) if mark else (label[p + base] if p >= 0 else 0))
             kind.append(int(tree.tag[i] == "#text"))
             depth.append(depth[p + base] + 1 if p >= 0 else 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
@@ -22,6 +23,11 @@ _ENDS |= {t: ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}) for t in
 _ENDS |= {t: ({"p"}, {"button", "td", "th", "caption", "table", "body", "html"}) for t in BLOCK - {"li", "dt", "dd", "tr", "td", "th", "option", "tbody", "thead", "tfoot", "html", "body"}}
 
 
+_LI_STOPS = {"div", "section", "article", "td"}
+#: These close all of them above the stop, not just the innermost.
+_ENDS_ALL = frozenset(("tr", "tbody", "thead", "tfoot", "dd", "dt"))
+
+
 @dataclass
 class Tree:
     """Parallel lists over nodes in page order; a text node's tag is "#text"."""
@@ -38,17 +44,66 @@ class Tree:
         return len(self.parent) - 1
 
 
+class _Open:
+    """The open elements: a stack that knows where each tag stands in it, so that no search walks it."""
+
+    def __init__(self, root: int):
+        self.nodes, self.tags = [root], ["#root"]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def cut(self, depth: int) -> bool:
+        """Closes all from a depth on; says whether a block was among them."""
+        block = bool(self.blocks) and self.blocks[-1] >= depth
+        while len(self.nodes) > depth:
+            self.nodes.pop()
+            self.places[self.tags.pop()].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+        return block
+
+    def last(self, tags) -> int:
+        """The depth of the innermost of some tags; 0 if none is open."""
+        return max((found[-1] for t in tags if (found := self.places.get(t))), default=0)
+
+    def first_above(self, tags, depth: int) -> int:
+        """The depth of the outermost of some tags above a depth; 0 if there is none."""
+        above = [found[at] for t in tags if (found := self.places.get(t)) and (at := bisect_right(found, depth)) < len(found)]
+        return min(above, default=0)
+
+
 def parse(page: str) -> Tree:
     tree = Tree()
-    stack, block, at = [tree.add(-1, "#root", {}, "", 0)], 0, 0
+    stack, block, at = _Open(tree.add(-1, "#root", {}, "", 0)), 0, 0
+    said: list[str] = []
+    endless: set[str] = set()  # tags that have no end from here on
 
     def say(text: str) -> None:
         if not text:
             return
-        if tree.tag[-1] == "#text" and tree.parent[-1] == stack[-1] and tree.block[-1] == block:
-            tree.text[-1] += text
+        if tree.tag[-1] == "#text" and tree.parent[-1] == stack.nodes[-1] and tree.block[-1] == block:
+            said.append(text)
         else:
-            tree.add(stack[-1], "#text", {}, text, block)
+            hush()
+            tree.add(stack.nodes[-1], "#text", {}, "", block)
+            said.append(text)
+
+    def hush() -> None:
+        """Gives the last text node what was said since it began."""
+        if said:
+            tree.text[-1] = "".join(said)
+            said.clear()
+
+    def add(tag: str, attrs: dict[str, str]) -> int:
+        hush()
+        return tree.add(stack.nodes[-1], tag, attrs, "", block)
 
     while at < len(page):
         open_ = page.find("<", at)
@@ -69,58 +124,52 @@ def parse(page: str) -> Tree:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(tree.tag[i] == "p" for i in stack):
+            if tag == "p" and not stack.places.get("p"):
                 block += 1
-            for depth in range(len(stack) - 1, 0, -1):
-                name = tree.tag[stack[depth]]
-                if name == tag:
-                    if any(tree.tag[i] in BLOCK for i in stack[depth:]):
-                        block += 1
-                    del stack[depth:]
-                    break
-                if name in BLOCK and tag not in BLOCK:
-                    break
+            depth = stack.last((tag,))
+            if depth and (tag in BLOCK or not stack.blocks or stack.blocks[-1] < depth):  # an inline end can't cross a block
+                block += stack.cut(depth)
             continue
         if tag in _ENDS:
             closes, stops = _ENDS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
-                name = tree.tag[stack[depth]]
-                if name in closes:
-                    del stack[depth:]
-                    if tag in ("tr", "tbody", "thead", "tfoot", "dd", "dt"):
-                        continue
-                    break
-                if name in stops or (tag == "li" and name in ("div", "section", "article", "td")):
-                    break
+            stop = stack.last(stops | _LI_STOPS if tag == "li" else stops)
+            depth = stack.first_above(closes, stop) if tag in _ENDS_ALL else stack.last(closes)
+            if depth > stop:
+                stack.cut(depth)
         if tag == "br":
             say("\n")
             continue
         if tag in BLOCK:
             block += 1
         if tag in UNSEEN and tag != "head":
-            self_closed = m[3].rstrip().endswith("/") and tag in ("svg", "math")
-            if not self_closed:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
+                continue
+            end = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in RAW:
+                break  # all that follows is its raw text
+            else:
+                endless.add(tag)  # never closed: what follows is shown
             continue
         if tag == "head":
-            end = re.compile(r"</head\s*>|<body[\s>]", re.I)
-            at = _after_head(page, at, end)
+            at = _after_head(page, at)
             continue
         attrs = {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTR.findall(m[3])} if m[3] else {}
         if tag in VOID:
-            tree.add(stack[-1], tag, attrs, "", block)
+            add(tag, attrs)
             if tag == "hr":
                 block += 1
             continue
-        stack.append(tree.add(stack[-1], tag, attrs, "", block))
+        stack.push(add(tag, attrs), tag)
+    hush()
     return tree
 
 
 _IN_HEAD = frozenset("meta link base title style script noscript template".split())
 
 
-def _after_head(page: str, at: int, end: re.Pattern) -> int:
+def _after_head(page: str, at: int) -> int:
     """Where the head stops: its end tag, or the first thing that can't be in it."""
     while True:
         m = _TOKEN.search(page, at)
