@@ -17,7 +17,7 @@ copies of a passage of min_words keep suffixes at the same places of it.
    and after that no neighbour settled are compared by hash, sorted, in the manner of step 1.
 5. Matches of min_words at least are merged into maximal spans of each document.
 
-Defined cases: null and short texts have no span. Rows with a null doc_id take no part; rows that repeat a
+Defined cases: null and short texts have no span; very long texts and words count whole. Rows with a null doc_id take no part; rows that repeat a
 doc_id count as one document, and repeats within one document don't count. An empty table gives an empty
 result. Further columns of the input are ignored.
 """
@@ -281,6 +281,8 @@ def _in_two_documents(hashed: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, start_word, end_word (after the last), other_doc_id: spans that matches of min_words words or more with other documents cover."""
+    if min_words - anchor > 30:
+        raise ValueError("min_words may exceed anchor by 30 at most: a row keeps its open splits as the bits of an int")
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     reach = min_words - anchor
     anchors = docs.mapInArrow(lambda it: _emit_anchors(it, min_words, anchor), _HASHED)

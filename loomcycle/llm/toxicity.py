@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning: sentences are the instances, documents carry the labels.
 
 A sentence's probability is a logistic function of its distinct words, each a sum of hashed weights of
-the word and its character 4-grams; a document is toxic unless every sentence is clean
+the word and its character 4- and 5-grams; a document is toxic unless every sentence is clean
 (noisy-or). Training climbs the likelihood of document labels only, so the blame settles on the
 sentences that tell toxic documents from clean ones, and those are returned with the score.
 
 The model is fitted on at most `sample_per_class` labelled documents of each class, taken in the order
-of a hash of their ids; scoring reads every document whole, in one narrow pass.
+of a hash of their ids; those of more than `longest` bytes are left out, so what reaches the driver is bounded.
+Scoring reads every document whole, whatever its length, in one narrow pass.
 
 Defined cases: a null or empty text has no sentence and scores 0. Null labels and labels of unknown
 documents are left out; of several labels the most toxic counts. A null doc_id has no label and counts
@@ -25,8 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-BITS, GRAM = 18, 5
-SAMPLE_PER_CLASS = 2000
+BITS, GRAMS = 18, (4, 5)
+SAMPLE_PER_CLASS, LONGEST = 2000, 1 << 16
 THRESHOLD = 0.7
 _WORDS, _ENDS = re.compile(r"\w+"), re.compile(r"[.!?\n]+")
 _CACHE = 300_000
@@ -45,7 +46,7 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 
 def word_features(word: str) -> list[int]:
     padded, mask = f"<{word}>", (1 << BITS) - 1
-    grams = {padded} | {padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)}
+    grams = {padded} | {padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)}
     return [zlib.crc32(g.encode("utf-8", "surrogatepass")) & mask for g in sorted(grams)]
 
 
@@ -149,14 +150,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_per_class: int = SAMPLE_PER_CLASS, longest: int = LONGEST) -> ToxicityModel:
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.max("toxic").cast("int").alias("y"))
     order = F.xxhash64("l_id")
     sample = None
     for y in (0, 1):  # bounded: two ordered limits
         part = known.where(F.col("y") == y).orderBy(order, "l_id").limit(sample_per_class)
         sample = part if sample is None else sample.unionByName(part)
-    joined = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("t")).join(F.broadcast(sample), F.col("d_id") == F.col("l_id"))
+    joined = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("t")).join(F.broadcast(sample), F.col("d_id") == F.col("l_id")).where(F.coalesce(F.octet_length("t"), F.lit(0)) <= longest)
     rows = joined.groupBy("d_id", "y").agg(F.min("t").alias("t")).orderBy("d_id").collect()  # at most 2 * sample_per_class rows
     return fit([r["t"] or "" for r in rows], np.array([r["y"] for r in rows], int))
 

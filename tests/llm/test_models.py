@@ -87,6 +87,32 @@ def test_toxicity_held_out_accuracy_and_sentences():
     assert np.mean([any(w in h for w in BAD) for h in hits]) > 0.95
 
 
+def test_toxicity_query_against_a_plain_scorer(spark, docs_of):
+    """Training on the rows that may train, then the noisy-or of sentences said plainly."""
+    texts, toxic = labelled(200, 3)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, ""), (901, None)]
+    labels = spark.createDataFrame([(i, 1, int(y)) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    got = toxicity(docs_of(rows), labels).collect()
+    seen = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    model = fit([texts[i] for i in seen], toxic[seen])
+
+    def plain(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+            if sentence:
+                z = float(model.bias)
+                for word in sorted(set(re.findall(r"\w+", sentence))):
+                    w = f"<{word}>"
+                    z += sum(float(model.weights[zlib.crc32(g.encode()) % (1 << 18)]) for g in {w} | {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)})
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - clean
+
+    assert len(got) == len(rows)
+    for r in got:
+        want = plain(dict(rows)[r.doc_id])
+        assert abs(r.score - want) < 1e-5 and (r.predicted == (want >= 0.7) or abs(want - 0.7) < 1e-5)
+
+
 def test_toxicity_operator(spark, docs_of):
     texts, toxic = labelled(300, 2)
     rows = list(enumerate(texts)) + [(1000, None), (1001, ""), (1002, "...\n"), (None, texts[0]), (0, texts[0]), (1003, "w " * 50_000)]
