@@ -33,3 +33,11 @@ def omega_micros(omega: int | float | dt.timedelta) -> int:
     if seconds <= 0:
         raise ValueError("a window is positive")
     return round(seconds * 1_000_000)
+
+
+def period(micros: Column, kind: str) -> Column:
+    """Text of a time's month (2024-03), quarter (2024-Q1) or second (ISO 8601)."""
+    ts = F.timestamp_micros(micros)
+    if kind == "quarter":
+        return F.concat(F.year(ts).cast("string"), F.lit("-Q"), F.quarter(ts).cast("string"))
+    return F.date_format(ts, {"month": "yyyy-MM", "iso": "yyyy-MM-dd'T'HH:mm:ss"}[kind])

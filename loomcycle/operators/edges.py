@@ -91,3 +91,18 @@ def quantile_filter(rows: DataFrame, column: str, q: float, by: list[str] | None
     limits = rows.groupBy(*keys).agg(F.percentile(column, q).alias("_limit"))
     joined = rows.join(limits, keys) if keys else rows.crossJoin(F.broadcast(limits))  # without keys, one row
     return joined.where(F.col(column) <= F.col("_limit")).drop("_limit")
+
+
+def edge_count(edges: DataFrame) -> DataFrame:
+    """One row: edges. Parquet answers it from its footers."""
+    return edges.agg(F.count("*").alias("edges"))
+
+
+def of_size(features: DataFrame, nodes: tuple = (None, None), edges: tuple = (None, None)) -> DataFrame:
+    """Graphs (rows with nodes and edges) whose sizes lie within the bounds, both included; None is open."""
+    for column, (lo, hi) in (("nodes", nodes), ("edges", edges)):
+        if lo is not None:
+            features = features.where(F.col(column) >= lo)
+        if hi is not None:
+            features = features.where(F.col(column) <= hi)
+    return features

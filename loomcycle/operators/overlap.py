@@ -50,6 +50,12 @@ def component_aggregates(cycles: DataFrame, labels: DataFrame) -> DataFrame:
     return base.join(members, "component")
 
 
+def component_edges(bundle_edges: DataFrame, numbers: DataFrame, labels: DataFrame) -> DataFrame:
+    """component and the edges of its composed graph: those of all its bundles (bundle, cycle), each edge once."""
+    placed = bundle_edges.join(numbers, "bundle").join(labels, "cycle")
+    return placed.drop("bundle", "cycle", "hop").dropDuplicates(["component", "src", "dst", "t", "edge_key"])
+
+
 def strongly_connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node of each strongly connected component, single nodes included.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+#: The columns and keys of the file formats.
 GRAPH_JSON = "directed boolean, multigraph boolean, graph map<string,string>, nodes array<struct<id:string>>, edges array<struct<source:string,target:string,key:double,timestamp:double,token_id:string,price_usd:double,edge_key:string>>"
 RUN_LOG = "time_seconds double, iteration_time double, iterations_total long, cycles_total long, memory_usage_bytes long, task_queue_size long, running_tasks long"
 ITERATION_LOG = "time_seconds double, iterations_total long, iterations_rate double, memory_usage_bytes long"

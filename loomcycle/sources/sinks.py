@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Columns of components that are derived again on reading.
-DERIVED = "vertices nodes edges begin end duration avg_dwell burstiness price_delta rate cardinality duration_hours begin_date".split()
+#: What `measures.measure` gives of a component's edges again.
+MEASURED = ("nodes", "edges", "begin", "end", "duration", "rate", "avg_dwell", "burstiness", "price_delta", "vertices")
 
 
 def graph_json(bundle_edges: DataFrame, key: str = "bundle") -> DataFrame:
@@ -35,8 +35,8 @@ def write_cycles(rows: DataFrame, path: str) -> None:
 
 
 def to_serializable(components: DataFrame) -> DataFrame:
-    """Without derived columns; arrays and structs as JSON."""
-    kept = components.drop(*DERIVED)
+    """Without what the graph says again; arrays and structs as JSON."""
+    kept = components.drop(*MEASURED)
     return kept.select(*[F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in kept.dtypes])
 
 
@@ -65,3 +65,18 @@ def write_edges(edges: DataFrame, path: str, date: Column | None = None) -> None
 def write_text(cycles: DataFrame, path: str) -> None:
     """One cycle a line."""
     cycles.select(F.array_join(F.col("path").cast("array<string>"), " ").alias("value")).write.text(path)
+
+
+def write_transactions(rows: DataFrame, path: str) -> None:
+    """CSV with a header: timestamp in seconds, from, to, buyer, price_usd, token_id."""
+    rows.select("timestamp", "from", "to", "buyer", "price_usd", "token_id").write.csv(path, header=True)
+
+
+def write_log(rows: DataFrame, path: str, schema: str) -> None:
+    """CSV with a header and a log format's columns, in their order."""
+    rows.select(*[part.split()[0] for part in schema.split(",")]).write.csv(path, header=True)
+
+
+def write_dictionary(dictionary: DataFrame, path: str) -> None:
+    """One vertex a line, in the order of ids: line numbers are the ids again."""
+    dictionary.repartitionByRange("vertex_id").sortWithinPartitions("vertex_id").select(F.col("vertex").alias("value")).write.text(path)
