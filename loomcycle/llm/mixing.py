@@ -129,6 +129,8 @@ def mix(
     row_col: str | None = None,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken, row_no: one row per input row; row_col names unique longs to use as row_no."""
+    if block < 4 * LANDING:
+        raise ValueError(f"blocks of fewer than {4 * LANDING} rows may leave as many as they take")
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("key"), F.col(row_col).alias("row_no") if row_col else F.monotonically_increasing_id().alias("row_no"))
     sized = cut_lineage(sized)
     per_source = cut_lineage(targets(sized, weights, share, most))

@@ -370,3 +370,20 @@ def test_sharding_operator(docs_of):
     assert shard_documents(docs_of([])).count() == 0
     few = shard_documents(docs_of(["a", "b"]), shards=24).collect()
     assert len({r.shard for r in few}) == 2
+
+
+def test_mixing_and_sharding_of_one_repeated_row(docs_of):
+    """Rows that share id and text are rows of their own, and no block or arc holds them all."""
+    from collections import Counter
+
+    rows = [(7, "a b c")] * 400 + [(None, "d e")] * 100 + [(k, "w " * (k % 9)) for k in range(100, 200)]
+    got = mix(docs_of(rows), block=60).collect()
+    assert len(got) == len(rows) and all(r.copies <= 2 for r in got)
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r.source, [0, r.target])[0] += r.taken
+    assert all(abs(taken - target) <= 10 for taken, target in by_source.values())
+    placed = shard_documents(docs_of(rows), shards=5).collect()
+    counts = Counter(r.shard for r in placed)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in placed if r.shard == s) == list(range(n)) for s, n in counts.items())
