@@ -132,3 +132,14 @@ def test_streaming_equals_batch(spark, tmp_path):
     CycleStream(omega, str(tmp_path / "out")).start(stream, availableNow=True).awaitTermination(240)
     got = sorted((r.root, tuple(r.times), tuple(r.path), tuple(r.edge_keys)) for r in read_found(spark, str(tmp_path / "out")).collect())
     assert got == sorted(brute.cycles(rows, omega, 99)) and got
+
+
+def test_stream_drops_late_edges_and_repeats_batches(spark, tmp_path):
+    omega = 10
+    stream = CycleStream(omega, str(tmp_path / "out"))
+    frame_of = lambda rows: spark.createDataFrame(rows, "src long, dst long, t long, edge_key long")
+    stream.batch(frame_of([(1, 2, 5, 0), (2, 1, 8, 1), (None, 1, 6, 2), (3, 4, 41, 3)]), 0)  # watermark 21, windows below 10 closed
+    late = [(2, 1, 9, 4), (4, 3, 44, 5), (5, 5, 200, 6)]  # the first is behind the watermark
+    for _ in range(2):
+        stream.batch(frame_of(late), 1)
+    assert sorted((r.root, r.t_start, r.t_end) for r in read_found(spark, str(tmp_path / "out")).collect()) == [(1, 5, 8), (3, 41, 44)]
