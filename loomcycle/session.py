@@ -27,11 +27,13 @@ def build_session(app: str = "loomcycle", cores: str = "*", shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; only where that is unset a local one is made."""
+    """The cluster names its shared folder in spark.checkpoint.dir; a temporary one is made only in local mode."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomcycle-checkpoint-"))
 
 
