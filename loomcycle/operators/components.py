@@ -68,7 +68,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     pairs, before = cut_lineage(pairs), None
     kind = pairs.schema["u"].dataType.simpleString()
     if kind in ("bigint", "int", "string") and pairs.count() <= local_edges:
-        return cut_lineage(pairs.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}"))
+        # dealt again, or all that joins the result would start from one partition
+        return cut_lineage(pairs.coalesce(1).mapInArrow(_union_find, f"node {kind}, component {kind}").repartition("node"))
     for _ in range(max_rounds):
         # stars whose centres have no edge of their own are components
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

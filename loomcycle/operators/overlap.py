@@ -106,7 +106,7 @@ def ranked(rows: DataFrame, key: str) -> DataFrame:
     inside = parts.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(key)))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
     offset = F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a partition
-    return inside.join(sizes.select("_part", offset.alias("_before")), "_part").withColumn("rank", F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
+    return inside.join(F.broadcast(sizes.select("_part", offset.alias("_before"))), "_part").withColumn("rank", F.col("_n") + F.col("_before")).drop("_part", "_n", "_before")
 
 
 def first_per_group(rows: DataFrame, by: list[str]) -> DataFrame:
