@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from loomcycle.functions.sequences import cardinality, trim
 from loomcycle.operators.cycles import HOPS_A_CHECKPOINT, warn_if_open
 from loomcycle.operators.seeds import seed_subgraph
-from loomcycle.session import cut_lineage
+from loomcycle.session import Stage, cut_lineage
 
 
 def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int | None = None) -> DataFrame:
@@ -25,7 +25,8 @@ def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int | None =
     if max_length is not None and max_length < 2:
         raise ValueError("max_length is below 2")
     sub = seed_subgraph(seeds, edges.where(F.col("src") != F.col("dst")))
-    adjacency = cut_lineage(sub.groupBy("seed_id", "src", "dst").agg(F.sort_array(F.collect_list("t")).alias("ts")))
+    kept, stage = (Stage(edges.sparkSession) for _ in range(2))  # open paths of finished rounds leave the disk
+    adjacency = kept.put(sub.groupBy("seed_id", "src", "dst").agg(F.sort_array(F.collect_list("t")).alias("ts")))
     step = adjacency.select(F.col("seed_id").alias("_seed"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("ts").alias("_ts"))
     keyed = seeds.select(F.concat_ws("|", "root", "begin").alias("seed_id"), "root", "begin", "end", "next_begin")
     starts = keyed.join(adjacency, "seed_id").where(F.col("src") == F.col("root"))
@@ -36,12 +37,14 @@ def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int | None =
         for _ in range(HOPS_A_CHECKPOINT if max_length is None else min(HOPS_A_CHECKPOINT, max_length - length)):
             length += 1
             rows = _hop(rows, step, length == max_length)
-        rows = cut_lineage(rows)
-        closed = rows.where("closed").select("root", "begin", "end", "path", F.size("path").alias("length"), trim(F.col("bundle")).alias("bundle"))
+        rows = stage.put(rows)
+        closed = cut_lineage(rows.where("closed").select("root", "begin", "end", "path", F.size("path").alias("length"), trim(F.col("bundle")).alias("bundle")))
         found = closed if found is None else found.unionByName(closed)
         rows = rows.where("not closed")
         if length == max_length or rows.isEmpty():
             break
+    kept.drop()
+    stage.drop()
     return found.withColumn("cardinality", cardinality(F.col("bundle"))).withColumn("bundle", F.transform("bundle", F.array_distinct))
 
 

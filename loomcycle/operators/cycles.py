@@ -12,7 +12,7 @@ import warnings
 
 from pyspark.sql import DataFrame, functions as F
 
-from loomcycle.session import cut_lineage
+from loomcycle.session import Stage, cut_lineage
 
 HOPS_A_CHECKPOINT = 4
 
@@ -37,7 +37,8 @@ def temporal_cycles(edges: DataFrame, omega: int, max_length: int | None = None,
     """
     if max_length is not None and max_length < min_length:
         raise ValueError("max_length is below min_length")
-    edges = cut_lineage(edges.select("src", "dst", "t", "edge_key").where(F.col("src") != F.col("dst")))
+    kept, stage = (Stage(edges.sparkSession) for _ in range(2))  # open paths of finished rounds leave the disk
+    edges = kept.put(edges.select("src", "dst", "t", "edge_key").where(F.col("src") != F.col("dst")))
     step = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("t").alias("_t"), F.col("edge_key").alias("_key"), F.floor(F.col("t") / omega).alias("_b"))
     rows = returning_edges(edges, omega).select(
         F.col("src").alias("root"), F.col("t").alias("t_start"), F.col("t").alias("t_end"), "t_close", F.col("dst").alias("cur"), F.array("src").alias("path"), F.array("t").alias("times"), F.array("edge_key").alias("edge_keys"), F.lit(False).alias("closed")
@@ -47,11 +48,13 @@ def temporal_cycles(edges: DataFrame, omega: int, max_length: int | None = None,
         for _ in range(HOPS_A_CHECKPOINT if max_length is None else min(HOPS_A_CHECKPOINT, max_length - length)):
             length += 1
             rows = hop(rows, length == max_length, warn=length == max_length > min_length)
-        rows = cut_lineage(rows)
-        closed = rows.where(F.col("closed") & (F.size("path") >= min_length)).select("root", "t_start", "t_end", F.size("path").alias("length"), "path", "times", "edge_keys")
+        rows = stage.put(rows)
+        closed = cut_lineage(rows.where(F.col("closed") & (F.size("path") >= min_length)).select("root", "t_start", "t_end", F.size("path").alias("length"), "path", "times", "edge_keys"))
         found = closed if found is None else found.unionByName(closed)
         rows = rows.where("not closed")
         if length == max_length or rows.isEmpty():
+            kept.drop()
+            stage.drop()
             return found
 
 

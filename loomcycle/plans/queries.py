@@ -11,7 +11,7 @@ from loomcycle.functions.times import micros_of
 from loomcycle.functions.sequences import after, before, bundle_text, cardinality, path_text, trim
 from loomcycle.operators import bundle_search as P, bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
 from loomcycle.plans import oracle as Q
-from loomcycle.session import cut_lineage, ensure_checkpoint_dir
+from loomcycle.session import cut_lineage, ensure_checkpoint_dir, release
 from loomcycle.streaming.windows import CycleStream, read_found
 from loomcycle.sources import files as I, sinks as W_
 from loomcycle.sources.derived import event_edges, table, token_edges
@@ -49,9 +49,16 @@ def _bundles(edges: DataFrame, omega: int) -> tuple[DataFrame, DataFrame]:
     return seeds, P.bundled_cycles(edges, seeds)
 
 
+def _bundle_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Written once: the sort of all edges behind it would run again for each use."""
+    rows = cut_lineage(B.to_edges(found, edges))
+    release(rows.sparkSession)
+    return rows
+
+
 def _token_bundle_edges(spark: SparkSession, sf: str) -> DataFrame:
     edges = token_edges(spark, sf)
-    return B.to_edges(_bundles(edges, MONTH)[1], edges)
+    return _bundle_edges(_bundles(edges, MONTH)[1], edges)
 
 
 def _numbered(bundle_edges: DataFrame) -> DataFrame:
@@ -520,7 +527,7 @@ def graph_json_round_trip(spark, sf):
 def cycle_table(spark, sf):
     edges = token_edges(spark, sf)
     seeds, found = _bundles(edges, MONTH)
-    return W_.cycle_table(found, seeds, B.to_edges(found, edges)).drop("graph")
+    return W_.cycle_table(found, seeds, _bundle_edges(found, edges)).drop("graph")
 
 
 @register("SELECT event_id, epoch_us(ts) AS from_text, epoch_us(date_trunc('second', ts)) AS from_seconds, epoch_us(ts) AS from_timestamp FROM events")
