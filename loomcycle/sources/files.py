@@ -71,10 +71,14 @@ def read_run_log(spark: SparkSession, path: str, schema: str = RUN_LOG) -> DataF
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(vertex, vertex_id) of a text file with one address a line: the line's number, found per file part."""
+    """(vertex, vertex_id) of a text file with one address a line: the line's number.
+
+    Lines follow each other by file name and place in the file; the scan's partitions take the longest parts first.
+    """
     from loomcycle.operators.overlap import ranked
 
-    lines = spark.read.text(path).select(F.lower(F.regexp_replace("value", "^0x", "")).alias("vertex"), F.monotonically_increasing_id().alias("at"))
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.lower(F.regexp_replace("value", "^0x", "")).alias("vertex"), place.alias("at"))
     return ranked(lines, "at").select("vertex", (F.col("rank") - 1).alias("vertex_id"))
 
 

@@ -62,6 +62,14 @@ def test_text_and_lists(spark, tmp_path):
     assert (first.u, first.v, first.t) == (0, 1, S1)
 
 
+def test_dictionary_of_several_files(spark, tmp_path):
+    """A long last file is read first; ids still go by line."""
+    names = [f"{i:04x}" * (1 if i < 400 else 9) for i in range(600)]
+    for part in range(3):
+        (tmp_path / f"part-{part:05d}.txt").write_text("".join(f"0x{n}\n" for n in names[part * 200 : part * 200 + 200]))
+    assert sorted((x.vertex_id, x.vertex) for x in R.read_dictionary(spark, str(tmp_path)).collect()) == list(enumerate(names))
+
+
 def test_logs_dictionary_receipts(spark, tmp_path):
     (tmp_path / "log.csv").write_text("time_seconds,iteration_time,iterations_total,cycles_total,memory_usage_bytes,task_queue_size,running_tasks\n2,1,10,4,5,0,0\n")
     from loomcycle.operators.exploration import throughput
