@@ -223,11 +223,13 @@ def seeds(block: _Block) -> Iterator[list[pa.Array]]:
             yield [block.vertex(root[few]), block.time(begin[few]), block.time(end[few]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), block.vertex(codes % block.n))]
 
 
-def by_block(edges: DataFrame, omega: int, found: _Found, schema: str, tasks: int) -> DataFrame:
-    """What `found` gives of each block's edges (src, dst, t)."""
+def by_block(edges: DataFrame, omega: int, found: _Found, schema: str, tasks: int, share: tuple[int, int] = (0, 1)) -> DataFrame:
+    """What `found` gives of each block's edges (src, dst, t), or of the blocks in share k of n."""
     names = [x.split()[0] for x in schema.split(", ")]
     block = F.floor(F.col("t") / omega)
     dealt = edges.select("src", "dst", "t", F.explode(F.array(block, block - 1)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task") if tasks > 1 else F.lit(0).alias("task"))
+    if share[1] > 1:
+        dealt = dealt.where(F.pmod("block", F.lit(share[1])) == share[0])
     dealt = dealt.withColumn("start", (F.col("block") == block) & (F.pmod(F.xxhash64("src"), F.lit(tasks)) == F.col("task")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,20 +13,20 @@ from pyspark.sql import DataFrame, functions as F
 from loomcycle.functions.sequences import cardinality, trim
 from loomcycle.operators.cycles import HOPS_A_CHECKPOINT, warn_if_open
 from loomcycle.operators.seeds import seed_subgraph
-from loomcycle.session import Stage, cut_lineage
+from loomcycle.session import Stage, cut_lineage, share
 
 
-def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int | None = None) -> DataFrame:
+def bundled_cycles(edges: DataFrame, seeds: DataFrame, max_length: int | None = None, shares: int = 1) -> DataFrame:
     """root, begin, end, path, length, bundle (sorted distinct times of each hop), cardinality, for combined seeds.
 
     Cardinality counts ascending choices of one edge a hop, parallel edges of one time apart. A max_length that
-    leaves paths open gives a warning.
+    leaves paths open gives a warning. The seeds' edges are taken in so many shares by source, each of which reads `edges`.
     """
     if max_length is not None and max_length < 2:
         raise ValueError("max_length is below 2")
-    sub = seed_subgraph(seeds, edges.where(F.col("src") != F.col("dst")))
     kept, stage = (Stage(edges.sparkSession) for _ in range(2))  # open paths of finished rounds leave the disk
-    adjacency = kept.put(sub.groupBy("seed_id", "src", "dst").agg(F.sort_array(F.collect_list("t")).alias("ts")))
+    parts = (edges.where("src <> dst") if shares == 1 else edges.where("src <> dst").where(share("src", k, shares)) for k in range(shares))
+    adjacency = kept.put_shares(seed_subgraph(seeds, part).groupBy("seed_id", "src", "dst").agg(F.sort_array(F.collect_list("t")).alias("ts")) for part in parts)
     step = adjacency.select(F.col("seed_id").alias("_seed"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("ts").alias("_ts"))
     keyed = seeds.select(F.concat_ws("|", "root", "begin").alias("seed_id"), "root", "begin", "end", "next_begin")
     starts = keyed.join(adjacency, "seed_id").where(F.col("src") == F.col("root"))

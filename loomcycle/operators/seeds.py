@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomcycle.operators import blocks
-from loomcycle.session import Stage, cut_lineage
+from loomcycle.session import Stage, cut_lineage, shares_of, written
 
 
 def _in_blocks(edges: DataFrame, omega: int, max_hops: int | None, most: int) -> tuple[Stage, DataFrame, int] | None:
@@ -59,7 +59,9 @@ def _by_rounds(edges: DataFrame, omega: int, max_hops: int | None) -> DataFrame:
 def _from_blocks(ready: tuple[Stage, DataFrame, int], omega: int, found, more: str = "") -> DataFrame:
     stage, e, tasks = ready
     kind = dict(e.dtypes)["src"]
-    out = cut_lineage(blocks.by_block(e, omega, found, f"root {kind}, begin bigint, end bigint" + more.format(kind=kind), tasks))
+    schema, n = f"root {kind}, begin bigint, end bigint" + more.format(kind=kind), shares_of(e.count())
+    with written(e.sparkSession, (blocks.by_block(e, omega, found, schema, tasks, (k, n)) for k in range(n))) as rows:
+        out = cut_lineage(rows)
     stage.drop()
     return out
 

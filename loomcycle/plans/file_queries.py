@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession, functions as F
 from loomcycle.functions.times import period
 from loomcycle.operators import edges as E, measures as M, overlap as O
 from loomcycle.plans import oracle as Q
-from loomcycle.plans.queries import DAY, MONTH, _bundle_edges, _bundles, _numbered, _token_bundle_edges, register
+from loomcycle.plans.queries import DAY, MONTH, _numbered, _token_bundle_edges, _token_bundles, register
 from loomcycle.session import ensure_checkpoint_dir
 from loomcycle.sources import files as I, sinks as K
-from loomcycle.sources.derived import event_edges, table, token_edges
+from loomcycle.sources.derived import event_edges, table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -47,9 +47,8 @@ def transactions_csv(spark, sf):
 
 @register(Q.with_(*Q.bundled("token_edges", MONTH)) + "SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, t, CAST(token_id AS VARCHAR) AS token_id, price_usd FROM bundle_edges")
 def cycle_files(spark, sf):
-    edges, folder = token_edges(spark, sf), _folder(spark, "cycles")
-    seeds, found = _bundles(edges, MONTH)
-    K.write_cycles(K.cycle_table(found, seeds, _bundle_edges(found, edges)), folder)
+    folder = _folder(spark, "cycles")
+    K.write_cycles(K.cycle_table(*_token_bundles(spark, sf)), folder)
     return I.graph_edges(I.read_cycles(spark, folder)).select("src", "dst", "t", "token_id", "price_usd")
 
 

@@ -11,7 +11,7 @@ from loomcycle.functions.times import micros_of
 from loomcycle.functions.sequences import after, before, bundle_text, cardinality, path_text, trim
 from loomcycle.operators import bundle_search as P, bundles as B, cycles as C, edges as E, exploration as X, measures as M, overlap as O, seeds as S, static_cycles as K, summary as R
 from loomcycle.plans import oracle as Q
-from loomcycle.session import cut_lineage, ensure_checkpoint_dir, release
+from loomcycle.session import cut_lineage, ensure_checkpoint_dir, share, shares_of, written
 from loomcycle.streaming.windows import CycleStream, read_found
 from loomcycle.sources import files as I, sinks as W_
 from loomcycle.sources.derived import event_edges, table, token_edges
@@ -44,21 +44,33 @@ def _event_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bundles(edges: DataFrame, omega: int) -> tuple[DataFrame, DataFrame]:
-    """Detection's main path: reachability gives seeds, whose subgraphs are searched by whole bundles."""
+    """Detection's main path: reachability gives seeds, whose subgraphs are searched by whole bundles. `edges` are written ones."""
     seeds = cut_lineage(S.combined_seeds(S.reachability_seeds(edges, omega), omega))
-    return seeds, P.bundled_cycles(edges, seeds)
+    return seeds, P.bundled_cycles(edges, seeds, shares=shares_of(edges.count()))
 
 
-def _bundle_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """Written once: the sort of all edges behind it would run again for each use."""
-    rows = cut_lineage(B.to_edges(found, edges))
-    release(rows.sparkSession)
-    return rows
+def _event_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    with written(spark, [event_edges(spark, sf)]) as edges:
+        return _bundles(edges, HOUR)[1]
+
+
+def _written_tokens(spark: SparkSession, sf: str):
+    """Written once: the join and the sort of all lines behind it would run again for each use."""
+    n = shares_of(table(spark, sf, "lineitem").count())
+    return written(spark, (token_edges(spark, sf, share("l_partkey", k, n) if n > 1 else None) for k in range(n)))
+
+
+def _token_bundles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bundles, seeds and the bundles' edges."""
+    with _written_tokens(spark, sf) as edges:
+        seeds, found = _bundles(edges, MONTH)
+        n = shares_of(edges.count())
+        with written(spark, (B.to_edges(found, edges.where(share("src", k, n)) if n > 1 else edges) for k in range(n))) as rows:
+            return found, seeds, cut_lineage(rows)
 
 
 def _token_bundle_edges(spark: SparkSession, sf: str) -> DataFrame:
-    edges = token_edges(spark, sf)
-    return _bundle_edges(_bundles(edges, MONTH)[1], edges)
+    return _token_bundles(spark, sf)[-1]
 
 
 def _numbered(bundle_edges: DataFrame) -> DataFrame:
@@ -205,14 +217,15 @@ FROM shape s JOIN assigned a ON a.root = s.root AND a.s_begin = s.s_begin AND a.
 
 @register(Q.with_(*Q.bundled("event_edges", HOUR)) + _BUNDLE_ROWS)
 def bundle_cardinality(spark, sf):
-    _, found = _bundles(event_edges(spark, sf), HOUR)
+    found = _event_bundles(spark, sf)
     return found.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "cardinality")
 
 
 @register(Q.with_(*Q.bundled("token_edges", MONTH)) + _BUNDLE_ROWS)
 def bundles_token_30d(spark, sf):
     """Order dates repeat, so parallel edges of one time count apart."""
-    _, found = _bundles(token_edges(spark, sf), MONTH)
+    with _written_tokens(spark, sf) as edges:
+        _, found = _bundles(edges, MONTH)
     return found.select("root", "begin", "end", path_text(F.col("path")).alias("path"), bundle_text(F.col("bundle")).alias("bundle"), "cardinality")
 
 
@@ -228,7 +241,7 @@ def bundles_enumerated(spark, sf):
 @register(Q.with_(*Q.bundled("event_edges", HOUR)) + "SELECT root, s_begin AS begin, array_to_string(path, '>') AS path, count(*) AS choices FROM assigned GROUP BY ALL")
 def bundle_choices(spark, sf):
     """Cardinality by the fold over hop times (event times are distinct, so it equals the enumerated count)."""
-    _, found = _bundles(event_edges(spark, sf), HOUR)
+    found = _event_bundles(spark, sf)
     return found.select("root", "begin", path_text(F.col("path")).alias("path"), cardinality(trim(F.col("bundle"))).alias("choices"))
 
 
@@ -525,9 +538,7 @@ def graph_json_round_trip(spark, sf):
 @register(Q.with_(*Q.bundled("token_edges", MONTH)) + """SELECT DISTINCT concat_ws('|', a.root, a.s_begin, array_to_string(a.path, '>')) AS bundle, s.s_begin / 1e6 AS seed_begin, s.s_end / 1e6 AS seed_end, s.next_begin / 1e6 AS next_seed_begin,
 '["' || array_to_string(s.candidates, '","') || '"]' AS candidates FROM assigned a JOIN seeds s ON s.root = a.root AND s.s_begin = a.s_begin""")
 def cycle_table(spark, sf):
-    edges = token_edges(spark, sf)
-    seeds, found = _bundles(edges, MONTH)
-    return W_.cycle_table(found, seeds, _bundle_edges(found, edges)).drop("graph")
+    return W_.cycle_table(*_token_bundles(spark, sf)).drop("graph")
 
 
 @register("SELECT event_id, epoch_us(ts) AS from_text, epoch_us(date_trunc('second', ts)) AS from_seconds, epoch_us(ts) AS from_timestamp FROM events")

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Tables above SHARE_ROWS are shuffled in shares, one after the other, so the disk holds the shuffles of one share.
+SHARES, SHARE_ROWS = 4, 4_000_000
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "loomcycle", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -72,6 +78,20 @@ class Stage:
     def put(self, df: DataFrame) -> DataFrame:
         folder = fresh_folder(self.spark, "stage")
         df.write.parquet(folder)
+        return self._turn_to(folder, df)
+
+    def put_shares(self, shares: Iterable[DataFrame]) -> DataFrame:
+        """The union of plans of one schema, written one after the other; a plan's shuffles leave the disk with its end."""
+        folder, before = fresh_folder(self.spark, "stage"), self.spark.conf.get(_CLEAN_UP, None)
+        for df in shares:
+            self.spark.conf.set(_CLEAN_UP, "true")
+            try:
+                df.write.mode("append").parquet(folder)
+            finally:
+                self.spark.conf.unset(_CLEAN_UP) if before is None else self.spark.conf.set(_CLEAN_UP, before)
+        return self._turn_to(folder, df)
+
+    def _turn_to(self, folder: str, df: DataFrame) -> DataFrame:
         self.drop()
         self.folder = folder
         return self.spark.read.schema(df.schema).parquet(folder)
@@ -81,3 +101,22 @@ class Stage:
             remove(self.spark, self.folder)
             self.folder = None
         release(self.spark)
+
+
+@contextmanager
+def written(spark: SparkSession, shares: Iterable[DataFrame]) -> Iterator[DataFrame]:
+    """The union of the plans as one written relation, which leaves the disk at the end of the block."""
+    stage = Stage(spark)
+    try:
+        yield stage.put_shares(shares)
+    finally:
+        stage.drop()
+
+
+def shares_of(rows: int) -> int:
+    return max(1, min(SHARES, -(-rows // SHARE_ROWS)))
+
+
+def share(column: str, k: int, n: int) -> Column:
+    """Share k of n of the column's values; a value lies wholly in one."""
+    return F.pmod(F.xxhash64(column), F.lit(n)) == k

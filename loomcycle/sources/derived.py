@@ -31,10 +31,15 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return follow.select("src", F.coalesce("follow", "tomorrow").alias("x")).where("x IS NOT NULL").select("src", "x.*").where("dst IS NOT NULL AND src <> dst")
 
 
-def token_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, t, token_id, price_usd, edge_key: a part goes from one customer to the next who orders it."""
+def token_edges(spark: SparkSession, sf_dir: str, lines_where: F.Column | None = None) -> DataFrame:
+    """src, dst, t, token_id, price_usd, edge_key: a part goes from one customer to the next who orders it.
+
+    A condition on lines must hold for all or none of a part's.
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_suppkey")
+    if lines_where is not None:
+        lines = lines.where(lines_where)
     w = W.partitionBy("l_partkey").orderBy("o_orderdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey")
     chain = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return chain.select(
