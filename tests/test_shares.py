@@ -9,7 +9,7 @@ from loomcycle import session
 from loomcycle.plans import file_queries, queries as core  # noqa: F401 file_queries registers its own
 
 LINES, EVENTS = 1200, 900
-TOKENS = ["price_delta", "boundary_table", "cycle_files", "dwell_min", "graph_json_round_trip", "overlap_pairs_closed", "path_bundles", "component_files", "cycle_components", "cycle_measures", "dwell_lists"]
+TOKENS = ["price_delta", "boundary_table", "cycle_files", "dwell_min", "graph_json_round_trip", "overlap_pairs_closed", "path_bundles", "component_files", "cycle_components", "cycle_measures", "dwell_lists", "overlap_pairs"]
 ON_EVENTS = ["bundle_cardinality"]
 
 
