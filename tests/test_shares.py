@@ -10,7 +10,7 @@ from loomcycle.plans import file_queries, queries as core  # noqa: F401 file_que
 
 LINES, EVENTS = 1200, 900
 TOKENS = ["price_delta", "boundary_table", "cycle_files", "dwell_min", "graph_json_round_trip", "overlap_pairs_closed", "path_bundles", "component_files", "cycle_components", "cycle_measures", "dwell_lists", "overlap_pairs"]
-ON_EVENTS = ["bundle_cardinality"]
+ON_EVENTS = ["bundle_cardinality", "bundle_choices"]
 
 
 @pytest.fixture(scope="module")
