@@ -10,13 +10,14 @@ from loomcycle.operators import blocks
 from loomcycle.session import Stage, cut_lineage, shares_of, written
 
 
-def _in_blocks(edges: DataFrame, omega: int, max_hops: int | None, most: int) -> tuple[Stage, DataFrame, int] | None:
-    """The edges, written once, and the tasks a block; None if two neighbouring windows hold too many for one task, or rounds are counted."""
+def _in_blocks(edges: DataFrame, omega: int, max_hops: int | None, most: int, on_disk: bool = False) -> tuple[Stage, DataFrame, int] | None:
+    """The edges, written once unless they are on disk already, and the tasks a block; None if two neighbouring windows hold too many for one task, or rounds are counted."""
     kinds = dict(edges.dtypes)
     if max_hops is not None or kinds["t"] != "bigint" or kinds["src"] != kinds["dst"] or kinds["src"] not in ("bigint", "string"):
         return None
     stage = Stage(edges.sparkSession)
-    e = stage.put(edges.where("src <> dst AND t IS NOT NULL").select("src", "dst", "t"))
+    e = edges.where("src <> dst AND t IS NOT NULL").select("src", "dst", "t")
+    e = e if on_disk else stage.put(e)
     largest = e.groupBy(F.floor(F.col("t") / omega).alias("b")).count().agg(F.max("count")).first()[0] or 0
     if 2 * largest > most:
         stage.drop()
@@ -80,14 +81,14 @@ def _closed(reach: DataFrame, edges: DataFrame, omega: int) -> DataFrame:
     return back.select(F.col("x").alias("root"), F.col("tx").alias("begin"), F.col("t").alias("end"), F.col("v").alias("last"))
 
 
-def reachability_seeds(edges: DataFrame, omega: int, max_hops: int | None = None, block_edges: int = blocks.BLOCK_EDGES) -> DataFrame:
+def reachability_seeds(edges: DataFrame, omega: int, max_hops: int | None = None, block_edges: int = blocks.BLOCK_EDGES, on_disk: bool = False) -> DataFrame:
     """root, begin, end, candidates, without looking at any cycle: what the root reaches after leaving at begin and
     what from there still reaches the closing edge's source before end; root and that source included.
 
     A closed walk holds a simple cycle with the same first and last edge, so the intervals are just those of all
-    cycles; the candidates are all of their vertices, and at times more.
+    cycles; the candidates are all of their vertices, and at times more. Edges that are on disk are not written again.
     """
-    if ready := _in_blocks(edges, omega, max_hops, block_edges):
+    if ready := _in_blocks(edges, omega, max_hops, block_edges, on_disk):
         return _from_blocks(ready, omega, blocks.seeds, ", candidates array<{kind}>")
     reach = _by_rounds(edges, omega, max_hops)
     closed = cut_lineage(_closed(reach, edges, omega).distinct())

@@ -45,7 +45,7 @@ def _event_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bundles(edges: DataFrame, omega: int) -> tuple[DataFrame, DataFrame]:
     """Detection's main path: reachability gives seeds, whose subgraphs are searched by whole bundles. `edges` are written ones."""
-    seeds = cut_lineage(S.combined_seeds(S.reachability_seeds(edges, omega), omega))
+    seeds = cut_lineage(S.combined_seeds(S.reachability_seeds(edges, omega, on_disk=True), omega))
     return seeds, P.bundled_cycles(edges, seeds, shares=shares_of(edges.count()))
 
 

@@ -67,7 +67,7 @@ def release(spark: SparkSession) -> None:
 
 
 class Stage:
-    """A relation that is written again and again, as compressed Parquet: only what was written last stays on disk.
+    """A relation that is written again and again, as Parquet with zstd: only what was written last stays on disk.
 
     What is read from it must be written elsewhere before the next put or drop.
     """
@@ -77,7 +77,7 @@ class Stage:
 
     def put(self, df: DataFrame) -> DataFrame:
         folder = fresh_folder(self.spark, "stage")
-        df.write.parquet(folder)
+        df.write.parquet(folder, compression="zstd")
         return self._turn_to(folder, df)
 
     def put_shares(self, shares: Iterable[DataFrame]) -> DataFrame:
@@ -86,7 +86,7 @@ class Stage:
         for df in shares:
             self.spark.conf.set(_CLEAN_UP, "true")
             try:
-                df.write.mode("append").parquet(folder)
+                df.write.mode("append").parquet(folder, compression="zstd")
             finally:
                 self.spark.conf.unset(_CLEAN_UP) if before is None else self.spark.conf.set(_CLEAN_UP, before)
         return self._turn_to(folder, df)

@@ -7,6 +7,7 @@ import pytest
 
 from loomcycle import session
 from loomcycle.plans import file_queries, queries as core  # noqa: F401 file_queries registers its own
+from loomcycle.sources.derived import token_edges
 
 LINES, EVENTS = 1200, 900
 TOKENS = ["price_delta", "boundary_table", "cycle_files", "dwell_min", "graph_json_round_trip", "overlap_pairs_closed", "path_bundles", "component_files", "cycle_components", "cycle_measures", "dwell_lists", "overlap_pairs"]
@@ -54,6 +55,17 @@ def test_lines_and_edges_are_shuffled_in_shares(spark, tables, bundles, monkeypa
     assert max(x.shuffleWriteRecords() for x in stages) < LINES
 
 
+def test_token_edges_are_written_once(spark, tables):
+    edges = token_edges(spark, tables).count()
+    _, stages = taken(spark, lambda: core._token_bundles(spark, tables))
+    assert sum(x.outputRecords() >= edges for x in stages) == 1
+
+
+def test_written_relations_are_zstd(spark):
+    with session.written(spark, [spark.range(500)]) as rows:
+        assert rows.inputFiles() and all(".zstd." in x for x in rows.inputFiles())
+
+
 @pytest.mark.parametrize("name", TOKENS)
 def test_queries_take_the_written_bundle_edges(spark, tables, bundles, monkeypatch, name):
     for module in (core, file_queries):
