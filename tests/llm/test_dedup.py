@@ -146,6 +146,26 @@ def test_ngram_join_null_repeated_and_empty(docs_of):
     assert ngram_join(docs_of([])).count() == 0
 
 
+def test_ngram_join_ships_sets_in_shares(spark, docs_of, monkeypatch):
+    """Chains of near copies are one cell of many tiles, whose sets go to many tasks: not all of them at once."""
+    from tests.test_shares import taken
+
+    rng, texts = random.Random(7), []
+    words = prose(rng, 120, 10**6)
+    for _ in range(150):
+        words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    docs, tokens = docs_of(texts).cache(), sum(len(shingles(t)) for t in texts)
+    monkeypatch.setattr("loomcycle.llm.ngram_join.SHARE_TOKENS", 1, raising=False)
+    got, stages = taken(spark, lambda: sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(docs, tile_tokens=1000).collect()))
+    classes = want_classes(list(enumerate(texts)))
+    assert got == [(i, len(shingles(t)), classes[i][1]) for i, t in enumerate(texts)]
+    assert len(texts) < max(x.shuffleWriteRecords() for x in stages)
+    # all sets take 8 bytes a token; without shares, they are shuffled several times over by one stage
+    assert max(x.shuffleWriteBytes() for x in stages) < 8 * tokens
+    docs.unpersist()
+
+
 def test_link_sets_between_groups():
     sets = [shingle_set(" ".join(f"{g}{k}" for k in range(30))) for g in "aabb"]
     assert link_sets(sets, np.array([0, 1, 0, 1])) and len(link_sets(sets)) == 2
