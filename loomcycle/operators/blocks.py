@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 #: Above BLOCK_EDGES edges in two windows the joins of `seeds` run instead. A task has the starts of about TASK_EDGES edges.
 BLOCK_EDGES, TASK_EDGES = 4_000_000, 500_000
 _CELLS, _DENSE_STARTS, _SPARSE_STARTS, _EXPANDED, _ROWS = 1 << 22, 256, 2048, 1 << 22, 1 << 16
+_BITS = 1 << 28  # of a table of vertices and starts
 _Found = Callable[["_Block", np.ndarray], Iterator[list[pa.Array]]]
 
 
@@ -195,12 +196,53 @@ def arrivals(block: _Block) -> Iterator[list[pa.Array]]:
 
 
 def walks(block: _Block) -> Iterator[list[pa.Array]]:
-    """root, begin, end"""
+    """root, begin, end
+
+    Only which starts have reached a vertex matters, not when: one pass over the edges in time order hands on a bit for each start.
+    """
     block.returning()
-    for part in block.parts(len(block.x)):
-        i, end, _ = block.forward(part)[1]
-        i, end = np.divmod(np.unique(i * block.m + end), block.m)
-        yield [block.vertex(block.x[part][i]), block.time(block.tx[part][i]), block.time(end)]
+    order = np.argsort(block.out_t, kind="stable")
+    src, dst, t = (block.out_key // block.m)[order].tolist(), block.out_dst[order].tolist(), block.out_t[order]
+    groups = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
+    t, size = t.tolist(), max(64, _BITS // block.n)
+    for begin in range(0, len(block.x), size):
+        part = slice(begin, min(begin + size, len(block.x)))
+        i, end = np.divmod(np.unique(_returns(block, part, src, dst, t, groups)), block.m)
+        for at in range(0, len(i), _ROWS):
+            own = part.start + i[at : at + _ROWS]
+            yield [block.vertex(block.x[own]), block.time(block.tx[own]), block.time(end[at : at + _ROWS])]
+
+
+def _returns(block: _Block, part: slice, src: list[int], dst: list[int], t: list[int], groups: list[int]) -> np.ndarray:
+    """start * m + end of some starts, numbered from 0, given all edges by ascending time and where equal times begin."""
+    x, limit = block.x[part], block.limit[part]
+    lo, hi = (np.searchsorted(x, np.arange(block.n), side).tolist() for side in ("left", "right"))  # a root's starts
+    edges = slice(*np.searchsorted(block.own, [part.start, part.stop]))
+    own, to = block.own[edges] - part.start, block.first[edges]
+    leaves = block.tx[part][own]
+    order = np.argsort(leaves, kind="stable")
+    own, to, leaves = own[order].tolist(), to[order].tolist(), leaves[order].tolist()
+    reached, some, left, found = np.zeros((block.n, -(-len(x) // 8)), np.uint8), [False] * block.n, 0, [np.empty(0, np.int64)]
+    for first, stop in zip(groups, groups[1:]):
+        now = t[first]
+        while left < len(own) and leaves[left] < now:
+            reached[to[left], own[left] >> 3] |= 1 << (own[left] & 7)
+            some[to[left]] = True
+            left += 1
+        # edges of one time don't follow each other: all are read before any is handed on
+        for v, bits in [(dst[e], reached[src[e]].copy()) for e in range(first, stop) if some[src[e]]]:
+            if lo[v] < hi[v]:  # a start ends where it returns
+                own_bytes = slice(lo[v] >> 3, (hi[v] + 7) >> 3)
+                flags = np.unpackbits(bits[own_bytes], bitorder="little")
+                inside = flags[lo[v] & 7 : (lo[v] & 7) + hi[v] - lo[v]]
+                back = np.flatnonzero(inside) + lo[v]
+                if len(back):
+                    found.append(back[limit[back] > now] * block.m + now)
+                    inside[:] = 0
+                    bits[own_bytes] = np.packbits(flags, bitorder="little")
+            reached[v] |= bits
+            some[v] = True
+    return np.concatenate(found)
 
 
 def seeds(block: _Block) -> Iterator[list[pa.Array]]:

@@ -67,3 +67,24 @@ def test_finished_rounds_leave_the_disk(spark, run):
     found = run(edges)
     assert found.count() == 1
     assert on_disk(spark) - before < 200_000
+
+
+def test_return_walks_take_one_pass(monkeypatch):
+    """No rounds: long paths cost no more than short ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomcycle.operators import blocks
+
+    rng, omega = np.random.default_rng(8), 30
+    for bits in (1 << 28, 64):
+        src, t = rng.integers(0, 9, 90), rng.integers(0, 60, 90)
+        dst = (src + rng.integers(1, 9, 90)) % 9
+        column = lambda x: pa.chunked_array([pa.array(x)])
+        make = lambda: blocks._Block(column(src), column(dst), t, t < omega, omega)
+        want = {x for c in blocks.seeds(make()) for x in zip(*[y.to_pylist() for y in c[:3]])}
+        with monkeypatch.context() as patch:
+            patch.setattr(blocks, "_BITS", bits, raising=False)
+            patch.delattr(blocks._Block, "forward")
+            got = [x for c in blocks.walks(make()) for x in zip(*[y.to_pylist() for y in c])]
+        assert len(got) == len(set(got)) and set(got) == want and want
