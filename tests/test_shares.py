@@ -7,7 +7,7 @@ import pytest
 
 from loomcycle import session
 from loomcycle.plans import file_queries, queries as core  # noqa: F401 file_queries registers its own
-from loomcycle.sources.derived import token_edges
+from loomcycle.sources.derived import event_edges, token_edges
 
 LINES, EVENTS = 1200, 900
 TOKENS = ["price_delta", "boundary_table", "cycle_files", "dwell_min", "graph_json_round_trip", "overlap_pairs_closed", "path_bundles", "component_files", "cycle_components", "cycle_measures", "dwell_lists", "overlap_pairs"]
@@ -81,6 +81,17 @@ def test_event_edges_are_derived_once(spark, tables, name):
     assert rows and sum(x.inputRecords() >= EVENTS for x in stages) == 2
 
 
+@pytest.mark.parametrize("name", ["cycles_event_1h", "cycle_counts", "cycle_size_counts"])
+def test_event_cycles_take_events_in_shares_of_days(spark, tables, monkeypatch, name):
+    """Nor are the edges written a second time for their return walks."""
+    want = rows_of([core.QUERIES[name](spark, tables)])
+    monkeypatch.setattr(session, "SHARE_ROWS", 100)
+    got, stages = taken(spark, lambda: rows_of([core.QUERIES[name](spark, tables)]))
+    assert got == want and got[0]
+    edges = event_edges(spark, tables).count()
+    assert max(x.outputRecords() for x in stages) < edges <= sum(x.outputRecords() for x in stages if x.outputRecords() > edges // 20) < 2 * edges
+
+
 def test_written_relations_leave_the_disk(spark, tables):
     from tests.test_blocks import on_disk
 
